@@ -64,8 +64,8 @@ totals as (select host, count(distinct text) pages from pages where text is not
 bad as (select host, list(line) drop_list from counted join totals using (host) where n >= {least} and n > {ratio} * pages group by 1)
 select doc_id,
   case when drop_list is null or text is null then text
-       else array_to_string(list_filter(own, x -> not list_contains(drop_list, x)), chr(10)) end as text,
+       else array_to_string([x for x in own if not list_contains(drop_list, x)], chr(10)) end as text,
   cast(case when drop_list is null or text is null then 0
-       else len(own) - len(list_filter(own, x -> not list_contains(drop_list, x))) end as bigint) as n_dropped
+       else len(own) - len([x for x in own if not list_contains(drop_list, x)]) end as bigint) as n_dropped
 from pages left join bad using (host)
 """
