@@ -3,8 +3,9 @@
 Lines are what ``\\n`` splits.  For every host, a line's frequency is the number of the host's different pages that
 contain it over the number of its different pages; equal pages count once, so a group of copies isn't boilerplate.
 Lines above ``RATIO`` that at least ``PAGES`` pages contain are dropped from every page of the host.  A host has at most
-(mean lines of a page) / RATIO such lines, so its list is short, and it is joined to the pages by host: Spark broadcasts
-the lists when they are measured to be small, and else splits a hot host's pages over tasks.
+(mean lines of a page) / RATIO such lines, so its list is short.  The lists are written and measured: up to
+``BROADCAST_LINES`` lines in all they are broadcast, and no text is shuffled; beyond, they are joined by host and salt, so
+that a hot host's pages are dealt out over ``SALTS`` tasks.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import as_text
+from ._text import as_text, cut
 
 RATIO, PAGES = 0.05, 5
+#: Lines (8 bytes each) of all hosts together up to which their lists are broadcast; parts of a host beyond.
+BROADCAST_LINES, SALTS = 1_000_000, 64
 
 
 def _lines(text: Column) -> Column:
@@ -45,9 +48,14 @@ def drop_lines(pages: DataFrame, host_column: str = "source", text_column: str =
     """
     host = F.coalesce(as_text(host_column), F.lit("\0"))
     lists = boilerplate(pages.select(host.alias("host"), as_text(text_column).alias("text")).filter("text is not null"), ratio, least)
-    lists = lists.select(F.col("host").alias("_host_of_list"), F.col("lines").alias("_boilerplate"))
+    lists = cut(lists.select(F.col("host").alias("_host_of_list"), F.col("lines").alias("_boilerplate")))
     names = pages.columns
-    joined = pages.join(lists, host == F.col("_host_of_list"), "left")
+    if (lists.agg(F.sum(F.size("_boilerplate") + 4)).collect()[0][0] or 0) <= BROADCAST_LINES:
+        joined = pages.join(F.broadcast(lists), host == F.col("_host_of_list"), "left")
+    else:
+        dealt = lists.withColumn("_salt_of_list", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(as_text(text_column)), F.lit(SALTS))
+        joined = pages.join(dealt, (host == F.col("_host_of_list")) & (salt == F.col("_salt_of_list")), "left")
     text, bad = as_text(text_column), F.col("_boilerplate")
     keep = F.filter(_lines(text), lambda line: ~F.array_contains(bad, F.xxhash64(line)) | ~_has_word(line))
     cleaned = F.when(bad.isNull(), text).otherwise(F.array_join(keep, "\n"))
