@@ -8,14 +8,15 @@ temporary arrays of a task are bounded by the longest single text and not by the
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 IS_WORD = np.array([i != 0x20 and not 0x09 <= i <= 0x0D for i in range(256)])
 
@@ -64,36 +65,16 @@ def words_of(texts: list[bytes], is_word: np.ndarray = IS_WORD) -> tuple[bytes,
     return data, starts, ends, np.searchsorted(starts, at), at
 
 
-def chunks(texts: list[bytes | None], size: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first, texts) of about ``size`` bytes each; a null text counts as empty."""
-    first, own, n = 0, [], 0
-    for i, t in enumerate(texts):
-        t = t or b""
-        if own and n + len(t) > size:
-            yield first, own
-            first, own, n = i, [], 0
-        own.append(t)
-        n += len(t) + 1
-    if own:
-        yield first, own
-
-
-def binary(column: pa.Array) -> list[bytes | None]:
-    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return column.cast(kind).to_pylist()
-
-
-def per_batch(make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]]) -> Callable:
-    """For mapInArrow: ``make`` runs once in a task, what it returns on each batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = None
-        for batch in batches:
-            if batch.num_rows:
-                work = work or make()
-                yield pa.RecordBatch.from_pydict(work(batch))
-
-    return run
+def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, texts) of about ``size`` bytes each; a null text counts as empty. Only one chunk is held."""
+    column = column.cast(pa.large_binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) + 1)
+    first = 0
+    while first < len(column):
+        done = int(ends[first - 1]) if first else 0
+        stop = max(first + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield first, [t or b"" for t in column.slice(first, stop - first).to_pylist()]
+        first = stop
 
 
 def as_text(column: str) -> F.Column:

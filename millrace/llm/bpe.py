@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import as_text
+from ._text import as_text, chunks
 
 #: Characters of unsplit text above which it is cut into leaves, and of the first window on each side of a join.
 LEAF, WINDOW = 4096, 64
@@ -196,15 +196,9 @@ def encode_documents(documents: DataFrame, path: str | None = None, id_column: s
     def run(batches):
         coder = Encoder(path)
         for batch in batches:
-            own, texts = batch.column(0), batch.column(1).cast(pa.large_binary()).to_pylist()
+            own = batch.column(0)
             rows: list[tuple] = []
-            k = 0
-            while k < len(texts):
-                part, n = [], 0
-                while k < len(texts) and (not part or n < 1 << 22):
-                    part.append(texts[k] or b"")
-                    n += len(part[-1])
-                    k += 1
+            for _, part in chunks(batch.column(1), 1 << 21):
                 for entries in coder.words(part):
                     entries = [e for e in entries if e[0]]
                     ids, decoded = b" ".join([e[1] for e in entries]), b" ".join([e[2] for e in entries])

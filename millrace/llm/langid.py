@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._text import as_text, chunks, mix, remainder
 
-BUCKETS, DIM, PER_LANGUAGE, EPOCHS, RATE = 1 << 15, 16, 1500, 6, 0.6
+BUCKETS, DIM, PER_LANGUAGE, EPOCHS, RATE = 1 << 15, 16, 1000, 6, 0.6
 #: Rejection: of the calibration rows that stay accepted, at most this share may be wrong.
 ERROR = 0.01
 ORDERS = (1, 2, 3, 4)
@@ -141,7 +141,7 @@ def sample(documents: DataFrame, id_column: str, text_column: str, label_column:
 
     def run(batches):
         for batch in batches:
-            own = [features(t or "") for t in batch.column(2).to_pylist()]
+            own = [features(t.as_py() or "") for t in batch.column(2)]
             packed = [pa.array([x[k].astype("<i4").tobytes() for x in own], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], ["h", "lang", "buckets", "counts"])
 
@@ -170,9 +170,8 @@ def identify(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     def run(batches):
         model = shared.value
         for batch in batches:
-            texts = batch.column(2).cast(pa.large_binary()).to_pylist()
             lang, score, letter = [], [], []
-            for _, part in chunks(texts, 1 << 20):
+            for _, part in chunks(batch.column(2)):
                 k, p, some = model.predict([t.decode() for t in part])
                 lang += [model.languages[i] if ok else "und" for i, ok in zip(k, some, strict=True)]
                 score += [float(x) if ok else 0.0 for x, ok in zip(p, some, strict=True)]

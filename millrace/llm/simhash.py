@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LOWER, as_text, binary, chunks, cut
+from ._text import LOWER, as_text, chunks, cut
 from .components import components
 
 SHINGLE, BITS, PIVOTS, HOT, SEED = 4, 4, 16, 4096, 42
@@ -60,7 +60,7 @@ def fingerprint(documents: DataFrame, id_column: str = "doc_id", text_column: st
 
     def run(batches):
         for batch in batches:
-            fp = [fingerprints(part, size) for _, part in chunks(binary(batch.column(1)))]
+            fp = [fingerprints(part, size) for _, part in chunks(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fp).view(np.int64) if fp else [], pa.int64())], ["doc_id", "fp"])
 
     return documents.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), as_text(text_column).alias("text")).mapInArrow(run, "doc_id long, fp long")
