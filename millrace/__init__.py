@@ -1 +1,6 @@
-"""Millrace: a batch SQL warehouse layer and operators on PySpark."""
+"""Millrace: a batch SQL warehouse layer on PySpark, with a PostgreSQL-like dialect and its functions."""
+
+from .engine import Engine
+from .session import session
+
+__all__ = ["Engine", "session"]
