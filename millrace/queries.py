@@ -85,7 +85,7 @@ sql("join_anti_notin", "select c_custkey from customer where c_custkey not in (s
 sql("join_exists", "select s_suppkey from supplier where exists (select 1 from lineitem where l_suppkey = s_suppkey and l_quantity > 49)")
 sql("join_not_exists", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
 sql("join_self", "select count(*) as n from nation a join nation b on a.n_regionkey = b.n_regionkey")
-sql("join_many", "select n_name, count(*) as n, round(cast(sum(l_extendedprice) as float8), 2) as v from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'ASIA' group by n_name", "select n_name, count(*) as n, round(sum(l_extendedprice), 2) as v from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'ASIA' group by n_name")
+sql("join_many", "select n_name, count(*) as n, cast(sum(cast(l_extendedprice as numeric(18, 6))) as float8) as v from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'ASIA' group by n_name", "select n_name, count(*) as n, cast(sum(cast(l_extendedprice as numeric(18, 6))) as float8) as v from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'ASIA' group by n_name")
 sql("join_null_keys", "select a.k as ak, b.k as bk from (select nullif(n_regionkey, 0) as k from nation) a left join (select nullif(r_regionkey, 0) as k from region) b on a.k = b.k")
 
 
@@ -162,7 +162,7 @@ def join_band(spark, sf_dir):
 # Aggregation
 
 sql("agg_global", "select count(*) as n, round(cast(avg(l_quantity) as float8), 6) as a, min(l_shipdate)::text as lo, max(l_extendedprice) as hi from lineitem", "select count(*) as n, round(avg(l_quantity), 6) as a, strftime(min(l_shipdate), '%Y-%m-%d %H:%M:%S') as lo, max(l_extendedprice) as hi from lineitem")
-sql("agg_group", "select l_returnflag, l_linestatus, count(*) as n, round(cast(sum(l_quantity) as float8), 2) as q from lineitem group by l_returnflag, l_linestatus", "select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as q from lineitem group by 1, 2")
+sql("agg_group", "select l_returnflag, l_linestatus, count(*) as n, cast(sum(cast(l_quantity as numeric(18, 6))) as float8) as q from lineitem group by l_returnflag, l_linestatus", "select l_returnflag, l_linestatus, count(*) as n, cast(sum(cast(l_quantity as numeric(18, 6))) as float8) as q from lineitem group by 1, 2")
 sql("agg_having", "select l_suppkey, count(*) as n from lineitem group by l_suppkey having count(*) > 20 and max(l_quantity) > 45")
 sql("agg_distinct_one", "select l_returnflag, count(distinct l_suppkey) as s from lineitem group by l_returnflag")
 sql("agg_distinct_many", "select l_returnflag, count(distinct l_suppkey) as s, count(distinct l_partkey) as p, sum(distinct l_linenumber) as d, count(*) as n from lineitem group by l_returnflag", "select l_returnflag, count(distinct l_suppkey) as s, count(distinct l_partkey) as p, cast(sum(distinct l_linenumber) as bigint) as d, count(*) as n from lineitem group by l_returnflag")
@@ -203,8 +203,8 @@ sql("win_percent_rank", "select n_nationkey, round(percent_rank() over (order by
 sql("win_cume_dist", "select n_nationkey, round(cume_dist() over (order by n_regionkey), 6) as r from nation")
 sql("win_first_last", "select o_orderkey, first_value(o_totalprice) over (partition by o_custkey order by o_orderkey) as f, last_value(o_totalprice) over (partition by o_custkey order by o_orderkey) as l from orders", f"select o_orderkey, first_value(o_totalprice) over (partition by o_custkey order by o_orderkey {_FULL}) as f, last_value(o_totalprice) over (partition by o_custkey order by o_orderkey {_FULL}) as l from orders")
 sql("win_lag_lead_default", "select o_orderkey, lag(o_orderkey, 2, 0) over (partition by o_custkey order by o_orderkey) as a, lead(o_orderkey, 1) over (partition by o_custkey order by o_orderkey) as b from orders", "select o_orderkey, lag(o_orderkey, 2, cast(0 as bigint)) over (partition by o_custkey order by o_orderkey) as a, lead(o_orderkey, 1) over (partition by o_custkey order by o_orderkey) as b from orders")
-sql("win_sum_partition", "select o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderkey), 2) as s, count(*) over (partition by o_custkey) as n from orders", "select o_orderkey, round(sum(o_totalprice) over (partition by o_custkey), 2) as s, count(*) over (partition by o_custkey) as n from orders")
-sql("win_rows_frame", "select o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderkey rows between 2 preceding and current row), 2) as s from orders", windows="ansi")
+sql("win_sum_partition", "select o_orderkey, cast(sum(cast(o_totalprice as numeric(18, 6))) over (partition by o_custkey order by o_orderkey) as float8) as s, count(*) over (partition by o_custkey) as n from orders", "select o_orderkey, cast(sum(cast(o_totalprice as numeric(18, 6))) over (partition by o_custkey) as float8) as s, count(*) over (partition by o_custkey) as n from orders")
+sql("win_rows_frame", "select o_orderkey, cast(sum(cast(o_totalprice as numeric(18, 6))) over (partition by o_custkey order by o_orderkey rows between 2 preceding and current row) as float8) as s from orders", windows="ansi")
 sql("win_over_agg", "select o_orderstatus, count(*) as n, row_number() over (order by count(*) desc, o_orderstatus) as r from orders group by o_orderstatus")
 sql("win_named", "select o_orderkey, rank() over w as r from orders window w as (partition by o_orderstatus order by o_totalprice, o_orderkey)")
 sql("win_ntile_nth", "select o_orderkey, ntile(4) over (order by o_orderkey) as q, nth_value(o_orderkey, 2) over (partition by o_custkey order by o_orderkey) as v from orders", "select o_orderkey, cast(ntile(4) over (order by o_orderkey) as int) as q, nth_value(o_orderkey, 2) over (partition by o_custkey order by o_orderkey) as v from orders")
@@ -381,13 +381,13 @@ def window_sessions(spark, sf_dir):
 
 sql(
     "tpch_q1",
-    """select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice), 2) as sum_base_price, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc_price,
-round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) as sum_charge, round(avg(l_quantity), 4) as avg_qty, round(avg(l_extendedprice), 4) as avg_price, round(avg(l_discount), 6) as avg_disc, count(*) as count_order
+    """select l_returnflag, l_linestatus, cast(sum(cast(l_quantity as numeric(18, 6))) as float8) as sum_qty, cast(sum(cast(l_extendedprice as numeric(18, 6))) as float8) as sum_base_price, cast(sum(cast(l_extendedprice * (1 - l_discount) as numeric(18, 6))) as float8) as sum_disc_price,
+cast(sum(cast(l_extendedprice * (1 - l_discount) * (1 + l_tax) as numeric(18, 6))) as float8) as sum_charge, round(avg(l_quantity), 4) as avg_qty, round(avg(l_extendedprice), 4) as avg_price, round(avg(l_discount), 6) as avg_disc, count(*) as count_order
 from lineitem where l_shipdate <= timestamp '1998-09-01 00:00:00' group by l_returnflag, l_linestatus order by l_returnflag, l_linestatus""",
 )
 sql(
     "tpch_q3",
-    """select l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, cast(o_orderdate as date) as o_orderdate from customer, orders, lineitem
+    """select l_orderkey, cast(sum(cast(l_extendedprice * (1 - l_discount) as numeric(18, 6))) as float8) as revenue, cast(o_orderdate as date) as o_orderdate from customer, orders, lineitem
 where c_mktsegment = 'BUILDING' and c_custkey = o_custkey and l_orderkey = o_orderkey and o_orderdate < timestamp '1995-03-15 00:00:00' and l_shipdate > timestamp '1995-03-15 00:00:00'
 group by l_orderkey, o_orderdate order by revenue desc, l_orderkey limit 10""",
 )
@@ -398,14 +398,14 @@ and exists (select 1 from lineitem where l_orderkey = o_orderkey and l_shipdate
 )
 sql(
     "tpch_q5",
-    """select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from customer, orders, lineitem, supplier, nation, region
+    """select n_name, cast(sum(cast(l_extendedprice * (1 - l_discount) as numeric(18, 6))) as float8) as revenue from customer, orders, lineitem, supplier, nation, region
 where c_custkey = o_custkey and l_orderkey = o_orderkey and l_suppkey = s_suppkey and c_nationkey = s_nationkey and s_nationkey = n_nationkey and n_regionkey = r_regionkey and r_name = 'ASIA'
 and o_orderdate >= timestamp '1994-01-01 00:00:00' and o_orderdate < timestamp '1995-01-01 00:00:00' group by n_name order by revenue desc""",
 )
-sql("tpch_q6", "select round(sum(l_extendedprice * l_discount), 2) as revenue from lineitem where l_shipdate >= timestamp '1994-01-01 00:00:00' and l_shipdate < timestamp '1995-01-01 00:00:00' and l_discount between 0.05 and 0.07 and l_quantity < 24")
+sql("tpch_q6", "select cast(sum(cast(l_extendedprice * l_discount as numeric(18, 6))) as float8) as revenue from lineitem where l_shipdate >= timestamp '1994-01-01 00:00:00' and l_shipdate < timestamp '1995-01-01 00:00:00' and l_discount between 0.05 and 0.07 and l_quantity < 24")
 sql(
     "tpch_q7",
-    """select supp_nation, cust_nation, l_year, round(sum(volume), 2) as revenue from (select n1.n_name as supp_nation, n2.n_name as cust_nation, cast(year(l_shipdate) as int8) as l_year, l_extendedprice * (1 - l_discount) as volume
+    """select supp_nation, cust_nation, l_year, cast(sum(cast(volume as numeric(18, 6))) as float8) as revenue from (select n1.n_name as supp_nation, n2.n_name as cust_nation, cast(year(l_shipdate) as int8) as l_year, l_extendedprice * (1 - l_discount) as volume
 from supplier, lineitem, orders, customer, nation n1, nation n2 where s_suppkey = l_suppkey and o_orderkey = l_orderkey and c_custkey = o_custkey and s_nationkey = n1.n_nationkey and c_nationkey = n2.n_nationkey
 and n1.n_regionkey <> n2.n_regionkey) shipping group by supp_nation, cust_nation, l_year order by supp_nation, cust_nation, l_year""",
 )
@@ -417,7 +417,7 @@ and n1.n_regionkey = r_regionkey and r_name = 'AMERICA' and s_nationkey = n2.n_n
 )
 sql(
     "tpch_q10",
-    """select c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, c_acctbal, n_name from customer, orders, lineitem, nation
+    """select c_custkey, c_name, cast(sum(cast(l_extendedprice * (1 - l_discount) as numeric(18, 6))) as float8) as revenue, c_acctbal, n_name from customer, orders, lineitem, nation
 where c_custkey = o_custkey and l_orderkey = o_orderkey and l_returnflag = 'R' and c_nationkey = n_nationkey group by c_custkey, c_name, c_acctbal, n_name order by revenue desc, c_custkey limit 20""",
 )
 sql("tpch_q12", "select o_orderpriority, sum(case when l_linestatus = 'F' then 1 else 0 end)::int8 as low_line, count(*) as n from orders, lineitem where o_orderkey = l_orderkey group by o_orderpriority")
@@ -425,15 +425,15 @@ sql("tpch_q13", "select c_count, count(*) as custdist from (select c_custkey, co
 sql("tpch_q14", "select round(100.00 * sum(case when p_type like 'PROMO%' then l_extendedprice * (1 - l_discount) else 0 end) / sum(l_extendedprice * (1 - l_discount)), 6) as promo_revenue from lineitem, part where l_partkey = p_partkey and l_shipdate >= timestamp '1995-09-01 00:00:00' and l_shipdate < timestamp '1995-10-01 00:00:00'")
 sql(
     "tpch_q15",
-    """with revenue as (select l_suppkey as supplier_no, round(sum(l_extendedprice * (1 - l_discount)), 2) as total_revenue from lineitem where l_shipdate >= timestamp '1996-01-01 00:00:00' and l_shipdate < timestamp '1996-04-01 00:00:00' group by l_suppkey)
+    """with revenue as (select l_suppkey as supplier_no, cast(sum(cast(l_extendedprice * (1 - l_discount) as numeric(18, 6))) as float8) as total_revenue from lineitem where l_shipdate >= timestamp '1996-01-01 00:00:00' and l_shipdate < timestamp '1996-04-01 00:00:00' group by l_suppkey)
 select s_suppkey, s_name, total_revenue from supplier, revenue where s_suppkey = supplier_no and total_revenue = (select max(total_revenue) from revenue)""",
 )
 sql("tpch_q17", "select round(sum(l_extendedprice) / 7.0, 2) as avg_yearly from lineitem, part where p_partkey = l_partkey and p_size < 20 and l_quantity < (select 0.5 * avg(l_quantity) from lineitem where l_partkey = p_partkey)")
 sql(
     "tpch_q18",
-    """select c_name, c_custkey, o_orderkey, o_totalprice, round(sum(l_quantity), 2) as q from customer, orders, lineitem where o_orderkey in (select l_orderkey from lineitem group by l_orderkey having sum(l_quantity) > 150)
+    """select c_name, c_custkey, o_orderkey, o_totalprice, cast(sum(cast(l_quantity as numeric(18, 6))) as float8) as q from customer, orders, lineitem where o_orderkey in (select l_orderkey from lineitem group by l_orderkey having sum(l_quantity) > 150)
 and c_custkey = o_custkey and o_orderkey = l_orderkey group by c_name, c_custkey, o_orderkey, o_totalprice order by o_totalprice desc, o_orderkey limit 100""",
 )
-sql("tpch_q19", "select round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem, part where (p_partkey = l_partkey and p_brand = 'Brand#12' and l_quantity between 1 and 11 and p_size between 1 and 5) or (p_partkey = l_partkey and p_brand = 'Brand#23' and l_quantity between 10 and 20 and p_size between 1 and 10) or (p_partkey = l_partkey and p_brand = 'Brand#34' and l_quantity between 20 and 30 and p_size between 1 and 15)")
-sql("tpch_q22", "select c_nationkey, count(*) as numcust, round(sum(c_acctbal), 2) as totacctbal from customer where c_acctbal > (select avg(c_acctbal) from customer where c_acctbal > 0.00) and not exists (select 1 from orders where o_custkey = c_custkey) group by c_nationkey")
+sql("tpch_q19", "select cast(sum(cast(l_extendedprice * (1 - l_discount) as numeric(18, 6))) as float8) as revenue from lineitem, part where (p_partkey = l_partkey and p_brand = 'Brand#12' and l_quantity between 1 and 11 and p_size between 1 and 5) or (p_partkey = l_partkey and p_brand = 'Brand#23' and l_quantity between 10 and 20 and p_size between 1 and 10) or (p_partkey = l_partkey and p_brand = 'Brand#34' and l_quantity between 20 and 30 and p_size between 1 and 15)")
+sql("tpch_q22", "select c_nationkey, count(*) as numcust, cast(sum(cast(c_acctbal as numeric(18, 6))) as float8) as totacctbal from customer where c_acctbal > (select avg(c_acctbal) from customer where c_acctbal > 0.00) and not exists (select 1 from orders where o_custkey = c_custkey) group by c_nationkey")
 
