@@ -86,6 +86,14 @@ def remainder(id_column: str, by: int) -> F.Column:
     return F.crc32(as_text(id_column)) % by
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A name that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables that driver and executors share."""
     sc = spark.sparkContext

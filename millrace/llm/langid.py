@@ -56,7 +56,7 @@ def grams(points: np.ndarray, buckets: int = BUCKETS) -> list[tuple[np.ndarray,
         last = points[n - 1 :].astype(np.uint64)
         rolled = rolled[:size] * np.uint64(0x100000001B3) + last + np.uint64(7)
         inside = inside[:size] if n < 3 else inside[:size] & (points[n - 2 : n - 2 + size] != 0)
-        ok = inside if n > 1 else points != 0
+        ok = inside if n > 2 else points != 0 if n == 1 else (points[:-1] != 0) | (points[1:] != 0)
         at = np.flatnonzero(ok)
         found.append((at, (mix(rolled[at] + np.uint64(n << 57)) & np.uint64(buckets - 1)).astype(np.int64)))
     return found

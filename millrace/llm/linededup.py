@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import as_text, cut
+from ._text import as_text, cut, fresh
 
 RATIO, PAGES = 0.05, 5
 #: Lines (8 bytes each) of all hosts together up to which their lists are broadcast; parts of a host beyond.
@@ -48,15 +48,16 @@ def drop_lines(pages: DataFrame, host_column: str = "source", text_column: str =
     """
     host = F.coalesce(as_text(host_column), F.lit("\0"))
     lists = boilerplate(pages.select(host.alias("host"), as_text(text_column).alias("text")).filter("text is not null"), ratio, least)
-    lists = cut(lists.select(F.col("host").alias("_host_of_list"), F.col("lines").alias("_boilerplate")))
     names = pages.columns
-    if (lists.agg(F.sum(F.size("_boilerplate") + 4)).collect()[0][0] or 0) <= BROADCAST_LINES:
-        joined = pages.join(F.broadcast(lists), host == F.col("_host_of_list"), "left")
+    its_host, lines, its_salt = (fresh(n, names) for n in ("_host", "_lines", "_salt"))
+    lists = cut(lists.select(F.col("host").alias(its_host), F.col("lines").alias(lines)))
+    if (lists.agg(F.sum(F.size(lines) + 4)).collect()[0][0] or 0) <= BROADCAST_LINES:
+        joined = pages.join(F.broadcast(lists), host == F.col(its_host), "left")
     else:
-        dealt = lists.withColumn("_salt_of_list", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = lists.withColumn(its_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.xxhash64(as_text(text_column)), F.lit(SALTS))
-        joined = pages.join(dealt, (host == F.col("_host_of_list")) & (salt == F.col("_salt_of_list")), "left")
-    text, bad = as_text(text_column), F.col("_boilerplate")
+        joined = pages.join(dealt, (host == F.col(its_host)) & (salt == F.col(its_salt)), "left")
+    text, bad = as_text(text_column), F.col(lines)
     keep = F.filter(_lines(text), lambda line: ~F.array_contains(bad, F.xxhash64(line)) | ~_has_word(line))
     cleaned = F.when(bad.isNull(), text).otherwise(F.array_join(keep, "\n"))
     dropped = [(F.when(text.isNull() | bad.isNull(), F.lit(0)).otherwise(F.size(_lines(text)) - F.size(keep))).cast("long").alias(count_as)] if count_as else []

@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for what no pattern knows.
 
-A candidate is a long run of secret-like characters in a sensitive context (a word such as ``key`` or ``bearer`` shortly
-before it).  Its novelty is what it adds, in compressed bytes, to a frame whose compressor was primed with a dictionary
+A candidate is a long run of secret-like characters (letters with three digits, or a digit and letters of both cases)
+in a sensitive context (a word such as ``key`` or ``bearer`` shortly before it).  Its novelty is what it adds, in compressed bytes, to a frame whose compressor was primed with a dictionary
 of identifiers and with the code around the candidate: names, paths and repeated constants compress away against the
 two, random strings don't.  Candidates at or above ``MIN_RATIO`` marginal bytes a character are reported as ``novelty``.
 """
@@ -64,7 +64,7 @@ def novel_spans(text: str) -> list[tuple[int, int, str]]:
                 b += 1
             seen = max(seen, b)
             own = text[a:b]
-            if not (re.search("[0-9]", own) and re.search("[A-Za-z]", own)):
+            if not (re.search("[A-Za-z]", own) and (len(re.findall("[0-9]", own)) >= 3 or re.search("[0-9]", own) and re.search("[a-z]", own) and re.search("[A-Z]", own))):
                 continue
             # What equals the candidate elsewhere nearby must not hide it.
             before, after = (text[max(0, a - AROUND) : a].replace(own, " "), text[b : b + AROUND].replace(own, " "))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LOWER, as_text, chunks, cut
+from ._text import LOWER, as_text, chunks, cut, fresh
 from .components import components
 
 SHINGLE, BITS, PIVOTS, HOT, SEED = 4, 4, 16, 4096, 42
@@ -187,6 +187,6 @@ def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: st
     Rows that repeat an id are one document: all of them stay or go.
     """
     groups = near_duplicates(documents, id_column, text_column, size, bits)
-    chosen = groups.groupBy("component_id").count().select(F.col("component_id").alias("_chosen"))
-    kept = documents.join(chosen, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col("_chosen")), "left_semi")
-    return kept
+    chosen = fresh("_chosen", documents.columns)
+    groups = groups.groupBy("component_id").count().select(F.col("component_id").alias(chosen))
+    return documents.join(groups, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(chosen)), "left_semi")
