@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: ANSI mode is off: overflowing sums wrap and bad casts give NULL, as in the dialect; UTC makes results repeatable.
@@ -33,3 +38,17 @@ def dialect_session(spark: SparkSession) -> SparkSession:
     for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.sources.partitionOverwriteMode"):
         own.conf.set(k, SETTINGS[k])
     return own
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package, once for an application, where their PYTHONPATH hasn't it already."""
+    root = Path(__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_millrace_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="millrace-"), "millrace.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "millrace").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._millrace_shipped = True
