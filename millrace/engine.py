@@ -81,8 +81,25 @@ class Engine:
     def _columns(self, text: str) -> dict[str, str]:
         """Types of the columns of all tables that the text names; what two tables type differently is left out."""
         found: dict[str, set[str]] = {}
-        for name in {t.strip('`"') for t in dialect.lex(text) if re.match(r"[A-Za-z_`\"]", t)}:
+        for name in _relations(dialect.lex(text)):
             if re.match(r"\w+$", name) and self.spark.catalog.tableExists(name):
                 for c, kind in self.spark.table(name).dtypes:
                     found.setdefault(c.lower(), set()).add(kind)
         return {c: next(iter(k)) for c, k in found.items() if len(k) == 1}
+
+
+def _relations(tokens: list[str]) -> set[str]:
+    """Names that stand where a relation is expected: after FROM and JOIN, and after a comma of a FROM list."""
+    names, clause, expected = set(), "", False
+    for t in tokens:
+        low = t.lower()
+        if low in ("from", "join"):
+            clause, expected = low, True
+        elif low in ("select", "where", "group", "order", "having", "limit", "on", "window"):
+            clause, expected = low, False
+        elif t == "," and clause == "from":
+            expected = True
+        elif expected:
+            names.add(t.strip('`"'))
+            expected = False
+    return names

@@ -24,7 +24,11 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def engine(spark: SparkSession, sf_dir: str, windows: str = "whole") -> Engine:
-    return Engine(spark, windows).register(sf_dir, TABLES)
+    """One engine for a session, folder and mode: the tables are registered once."""
+    kept = spark.__dict__.setdefault("_millrace_engines", {})
+    if (sf_dir, windows) not in kept:
+        kept[sf_dir, windows] = Engine(spark, windows).register(sf_dir, TABLES)
+    return kept[sf_dir, windows]
 
 
 def sql(name: str, text: str, oracle: str | None = None, windows: str = "whole") -> None:
