@@ -13,6 +13,11 @@ most ``BITS``.  The table of a fingerprint holds two kinds of such distances:
 Survivors are verified by their exact distance.  Equal fingerprints are one class from the start, so copies make no
 pairs; within a key only links that join two components are emitted, so a large group of near copies makes at most as
 many links as it has fingerprints.  A key with more than ``HOT`` fingerprints is dealt out in pairs of blocks of HOT.
+
+``similar`` links by the Jaccard similarity of the sets of five-word shingles instead (0.8 or more), for which 4 of 64
+bits are too few: fingerprints of ``WIDE`` bits meet under keys of sampled bits (distances to pivots masked to one bit),
+as many keys as find a pair at the threshold with probability ``RECALL``.  Survivors are verified: those of few differing
+bits stand, all others are compared by their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -25,34 +30,43 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LOWER, as_text, chunks, cut, fresh
+from ._text import LOWER, as_text, chunks, cut, fresh, mix
 from .components import components
 
 SHINGLE, BITS, PIVOTS, HOT, SEED = 4, 4, 16, 4096, 42
+#: For ``similar``: words of a shingle, bits of a fingerprint, least chance that a pair at the threshold meets under a key,
+#: binary logarithm of the unrelated fingerprints that share a key, fingerprints in a block of a hot key, and the most
+#: hot keys that are broadcast (16 bytes each; more are joined).
+WORDS, WIDE, RECALL, LOAD, WIDE_HOT, MOST_SENT = 5, 256, 0.97, 6, 2048, 100_000
 PIVOT_TABLE = np.random.default_rng(20240).integers(0, 1 << 64, PIVOTS, np.uint64, endpoint=False)
 
 
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """The hash of each shingle, repeats included; of the whole sequence if it has fewer words; none without words."""
+    digest = xxhash.xxh64_intdigest
+    words = text.translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    if len(words) <= size:
+        return np.array([digest(line, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    n = len(words) - size + 1
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(begins[:n].tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+
+
 def fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """The 64-bit SimHash of each text; 0 without words."""
-    digest = xxhash.xxh64_intdigest
-    out = np.zeros(len(texts), np.uint64)
-    for k, text in enumerate(texts):
-        words = text.translate(LOWER).split()
-        if not words:
-            continue
-        line = b" ".join(words)
-        if len(words) <= size:
-            out[k] = digest(line, SEED)
-            continue
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        n = len(words) - size + 1
-        h = np.fromiter((digest(line[a:b], SEED) for a, b in zip(begins[:n].tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, n)
-        ones = np.zeros(64, np.int64)
-        for i in range(0, n, 1 << 16):
-            ones += np.unpackbits(h[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out[k] = int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
-    return out
+    return np.array([majority(shingle_hashes(text, size)) for text in texts], np.uint64)
 
 
 def fingerprint(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -181,12 +195,197 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     return prints.join(ids, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """The documents with the least id of each group of near-duplicates, with all their columns.
+def shingle_set(text: bytes, size: int = WORDS) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> bytes:
+    """The SimHash of WIDE bits of a set of shingle hashes."""
+    lanes = (shingles if k == 0 else mix(shingles + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) for k in range(WIDE // 64))
+    return b"".join(majority(lane).to_bytes(8, "big") for lane in lanes)
+
+
+def wide_prints(documents: DataFrame, id_column: str, text_column: str, size: int = WORDS, sets: bool = False) -> DataFrame:
+    """One row per row: doc_id, wide; with the whole shingle set too if asked for."""
+
+    def run(batches):
+        for batch in batches:
+            for at, part in chunks(batch.column(1)):
+                own = [shingle_set(text, size) for text in part]
+                columns = [batch.column(0).slice(at, len(part)), pa.array([wide_fingerprint(x) for x in own], pa.binary())]
+                if sets:
+                    columns.append(pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "wide", "shingles"][: len(columns)])
+
+    schema = "doc_id long, wide binary" + (", shingles array<long>" if sets else "")
+    return documents.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), as_text(text_column).alias("text")).mapInArrow(run, schema)
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which sets of this Jaccard similarity are expected to differ (equal sizes, the worst case)."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def limits(similarity: float) -> tuple[int, int]:
+    """(most differing bits of a pair that stands unverified, most of a pair that is worth verifying).
+
+    Of those at the threshold 0.6 % lie below the first and 2.5 % above the second.
+    """
+    p = differing(similarity)
+    spread = 2 * np.sqrt(WIDE * p * (1 - p))
+    return int(WIDE * p - 1.25 * spread), int(np.ceil(WIDE * p + spread))
+
+
+def sampled_bits(n: int, similarity: float) -> np.ndarray:
+    """For each key the bits it is made of, so that about 2**LOAD of n unrelated fingerprints share one."""
+    k = int(min(max(8, np.ceil(np.log2(max(n, 2))) - LOAD), 48))
+    tables = int(np.ceil(np.log(1 - RECALL) / np.log1p(-((1 - differing(similarity)) ** k))))
+    rng = np.random.default_rng(20241)
+    return np.array([rng.permutation(WIDE)[:k] for _ in range(tables)])
+
+
+def sampled_keys(bits: np.ndarray, with_prints: bool):
+    """Keys of the fingerprints in column wide; each with its fingerprint if asked for."""
+    weights = np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(0).cast(pa.binary())
+            own = np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1)
+            for t, at in enumerate(bits):
+                key = mix(mix(own[:, at].astype(np.uint64) @ weights) + np.uint64(t + 1)).view(np.int64)
+                columns = [pa.array(key), column] if with_prints else [pa.array(key)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "wide"][: len(columns)])
+
+    return run
+
+
+def close_pairs(keys: np.ndarray, prints: np.ndarray, sides: np.ndarray, sure: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, whether it stands): pairs in the same run of equal keys within ``most`` differing bits.
+
+    Of the pairs within ``sure`` bits only those that join two groups; of the others those between groups that neighbour
+    each other or join two groups.  So a large group gives a few pairs a fingerprint, not all its pairs.
+    """
+    n = len(keys)
+    ahead, found, lag = np.arange(n - 1), [], 1
+    while True:
+        ahead = ahead[ahead + lag < n]
+        ahead = ahead[keys[ahead] == keys[ahead + lag]]
+        if not len(ahead):
+            break
+        own = ahead[(sides[ahead] == 0) | (sides[ahead] != sides[ahead + lag])]
+        d = np.bitwise_count(prints[own] ^ prints[own + lag]).sum(1, dtype=np.int32)
+        near = d <= most
+        found.append((own[near], own[near] + lag, d[near]))
+        lag += 1
+    if not found:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+    i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    label = list(range(n))
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    take = []
+    for stands in (True, False):
+        at = np.flatnonzero((d <= sure) == stands)
+        if not stands:
+            groups = np.array([root(x) for x in range(n)])
+            at = at[groups[i[at]] != groups[j[at]]]
+        for p, a, b in zip(at.tolist(), i[at].tolist(), j[at].tolist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                label[max(x, y)] = min(x, y)
+                take.append(p)
+            elif not stands and b - a <= 2:
+                take.append(p)
+    take = np.array(take, np.int64)
+    return i[take], j[take], d[take] <= sure
+
+
+def _close_run(sure: int, most: int):
+    """Rows come sorted by key; the last run of a batch waits for the next one."""
+
+    def emit(batch) -> pa.RecordBatch:
+        wide = batch.column(1).cast(pa.binary()).to_pylist()
+        prints = np.frombuffer(b"".join(wide), np.uint64).reshape(-1, WIDE // 64)
+        i, j, stands = close_pairs(batch.column(0).to_numpy(), prints, batch.column(2).to_numpy(), sure, most)
+        a, b = ([wide[k] for k in x.tolist()] for x in (i, j))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(stands)], ["a", "b", "stands"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            cut_at = int(np.searchsorted(keys, keys[-1]))
+            if cut_at:
+                yield emit(pa.Table.from_batches([*held, batch.slice(0, cut_at)]).combine_chunks())
+                held = []
+            held.append(batch.slice(cut_at))
+        if held:
+            yield emit(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def close_links(distinct: DataFrame, n: int, similarity: float, hot: int = WIDE_HOT) -> DataFrame:
+    """(a, b binary, stands boolean): pairs of the n different fingerprints in column wide that may be this similar."""
+    bits = sampled_bits(n, similarity)
+    sizes = cut(distinct.mapInArrow(sampled_keys(bits, False), "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select(F.col("key").alias("k"), F.ceil(F.col("n") / hot).alias("parts")))
+    if sizes.count() <= MOST_SENT:
+        sizes = F.broadcast(sizes)
+    keyed = distinct.mapInArrow(sampled_keys(bits, True), "key long, wide binary").join(sizes, F.col("key") == F.col("k"), "left")
+    # A key of more than ``hot`` fingerprints: part p of them meets parts p.. in keys of their own.
+    keyed = keyed.select("key", "wide", F.coalesce("parts", F.lit(1)).alias("parts")).withColumn("p", F.pmod(F.xxhash64("wide"), F.col("parts")))
+    others = F.expr("transform(sequence(0L, parts - 1), q -> named_struct('lo', least(p, q), 'hi', greatest(p, q), 'side', if(p = q, 0, if(p < q, 1, 2))))")
+    plain = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).alias("side")))
+    rows = keyed.select("key", "wide", F.explode(F.when(F.col("parts") > 1, others).otherwise(plain)).alias("o"))
+    rows = rows.select(F.xxhash64("key", "o.lo", "o.hi").alias("key"), "wide", F.col("o.side").alias("side"))
+    return rows.repartition(F.col("key")).sortWithinPartitions("key", F.xxhash64("key", "wide")).mapInArrow(_close_run(*limits(similarity)), "a binary, b binary, stands boolean")
+
+
+def similar(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, similarity: float = 0.8) -> DataFrame:
+    """One row per row: doc_id, component_id, linked by the similarity of shingle sets.
+
+    component_id is the least doc_id of the documents linked over any number of links.  Texts of equal wide fingerprints
+    are one class.  Null, empty and wordless texts are one class too; a null id gets the least id of its component, if
+    that has one.  Repeated rows give a row each; an empty table gives none; other columns are not read.
+    """
+    prints = cut(wide_prints(documents, id_column, text_column, size))
+    classes = cut(prints.groupBy("wide").agg(F.min("doc_id").alias("least")))
+    found = cut(close_links(classes.select("wide"), classes.count(), similarity).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("stands").alias("stands")))
+    doubtful = found.filter("not stands").select("a", "b")
+    ends = doubtful.select(F.explode(F.array("a", "b")).alias("wide")).distinct()
+    # Whole shingle sets of those that need them: one row of each class, found through its least id.
+    chosen = fresh("_least", documents.columns)
+    wanted = classes.join(ends, "wide", "left_semi").select(F.col("least").alias(chosen)).distinct()
+    rows = documents.join(wanted, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(chosen)), "left_semi")
+    sets = cut(wide_prints(rows, id_column, text_column, size, sets=True).join(ends, "wide", "left_semi").groupBy("wide").agg(F.first("shingles").alias("shingles")))
+    side = lambda name: sets.select(F.col("wide").alias(name), F.col("shingles").alias(f"s{name}"))
+    both, shared = F.size("sa") + F.size("sb"), F.size(F.array_intersect("sa", "sb"))
+    same = doubtful.join(side("a"), "a").join(side("b"), "b").filter(shared * (1 + similarity) >= both * similarity - 1e-9).select("a", "b")
+    linked = found.filter("stands").select("a", "b").union(same).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    joined = components(linked)
+    classes = classes.withColumn("fp", F.xxhash64("wide"))
+    classes = cut(classes.join(joined, F.col("fp") == F.col("id"), "left").select("wide", "least", F.coalesce("component", "fp").alias("component")))
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    ids = classes.join(least, "component").select(F.col("wide").alias("w"), "component_id")
+    return prints.join(ids, F.col("wide") == F.col("w")).select("doc_id", "component_id")
+
+
+def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, similarity: float = 0.8) -> DataFrame:
+    """The documents with the least id of each group of ``similar`` ones, with all their columns.
 
     Rows that repeat an id are one document: all of them stay or go.
     """
-    groups = near_duplicates(documents, id_column, text_column, size, bits)
+    groups = similar(documents, id_column, text_column, size, similarity)
     chosen = fresh("_chosen", documents.columns)
     groups = groups.groupBy("component_id").count().select(F.col("component_id").alias(chosen))
     return documents.join(groups, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(chosen)), "left_semi")

@@ -53,6 +53,7 @@ ALL = [
     ("quality", lambda d: quality.judge(d)),
     ("lmscore", lambda d: lmscore.score(d)),
     ("simhash", lambda d: simhash.near_duplicates(d)),
+    ("similar", lambda d: simhash.similar(d)),
     ("lines", lambda d: linededup.drop_lines(d)),
     ("html", lambda d: html.extract_pages(d, "doc_id", "source", "text")),
 ]
@@ -399,10 +400,87 @@ def test_all_links_between_fingerprints(spark, hot):
     assert linked.count() <= 15 * len(prints)
 
 
+def edited(spark, groups=12, copies=9, length=150):
+    """Invented texts in groups of copies, each with some words replaced; repeated rows and unrelated texts among them."""
+    random.seed(11)
+    word = lambda: "".join(random.choices("abcdefgh", k=6))
+    rows = [(1000 + k, " ".join(word() for _ in range(length))) for k in range(40)]
+    for g in range(groups):
+        base = [word() for _ in range(length)]
+        for c in range(copies):
+            own = list(base)
+            for _ in range(random.randint(0, 4)):
+                own[random.randrange(length)] = word()
+            rows.append((g * copies + c, " ".join(own)))
+    return spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string")
+
+
+def brute_similar(rows, similarity=0.8):
+    sets = {}
+    for i, text in rows:
+        w = words(text)
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    ids = sorted(sets)
+    by = collections.defaultdict(set)
+    for i in ids:
+        for x in sets[i]:
+            by[x].add(i)
+    pairs = set()
+    for i in ids:
+        for j in set().union(*(by[x] for x in sets[i])):
+            if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                pairs.add((i, j))
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in sorted(pairs):
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+    return pairs, {i: find(i) for i in ids}
+
+
+def similar_holds(frame, hot=None):
+    """Links found: at least nine in ten of all; no group but within a true one. (pairs, share found)"""
+    pairs, want = brute_similar([(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()])
+    got = {r.doc_id: r.component_id for r in simhash.similar(frame).collect()}
+    groups = collections.defaultdict(set)
+    for i, c in got.items():
+        groups[c].add(want[i])
+    mixed = [g for g in groups.values() if len(g) > 1]
+    found = sum(got[i] == got[j] for i, j in pairs)
+    assert len(mixed) <= 0.01 * len(groups) and found >= 0.9 * len(pairs)
+    return len(pairs), found
+
+
+@pytest.mark.parametrize("hot", [2048, 5])
+def test_similar_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash.close_links, "__defaults__", (hot,))
+    n, found = similar_holds(edited(spark))
+    assert n > 100 and found >= 0.97 * n
+
+
+def test_similar_documents_of_the_test_table(documents):
+    assert similar_holds(documents)[0] > 10
+
+
+def test_close_pairs_of_a_large_group_are_few():
+    rng = np.random.default_rng(3)
+    one = np.unpackbits(rng.integers(0, 256, 32, np.uint8))
+    rows = np.array([np.packbits(np.where(rng.random(256) < 0.07, 1 - one, one)) for _ in range(600)]).view(np.uint64)
+    i, j, stands = simhash.close_pairs(np.zeros(600, np.int64), rows, np.zeros(600, np.int64), *simhash.limits(0.8))
+    assert len(i) <= 3 * 600
+    none = simhash.close_pairs(np.arange(600), rows, np.zeros(600, np.int64), *simhash.limits(0.8))
+    assert not len(none[0])
+
+
 def test_one_of_each(documents):
     kept = simhash.one_of_each(documents)
     assert kept.columns == documents.columns
-    assert kept.count() == simhash.near_duplicates(documents).select("component_id").distinct().count()
+    assert kept.count() == simhash.similar(documents).select("component_id").distinct().count()
 
 
 # The queries and the pipeline
