@@ -37,7 +37,7 @@ SHINGLE, BITS, PIVOTS, HOT, SEED = 4, 4, 16, 4096, 42
 #: For ``similar``: words of a shingle, bits of a fingerprint, least chance that a pair at the threshold meets under a key,
 #: binary logarithm of the unrelated fingerprints that share a key, fingerprints in a block of a hot key, and the most
 #: hot keys that are broadcast (16 bytes each; more are joined).
-WORDS, WIDE, RECALL, LOAD, WIDE_HOT, MOST_SENT = 5, 256, 0.97, 6, 2048, 100_000
+WORDS, WIDE, RECALL, LOAD, WIDE_HOT, MOST_SENT = 5, 256, 0.995, 7, 2048, 100_000
 PIVOT_TABLE = np.random.default_rng(20240).integers(0, 1 << 64, PIVOTS, np.uint64, endpoint=False)
 
 
@@ -229,11 +229,11 @@ def differing(similarity: float) -> float:
 def limits(similarity: float) -> tuple[int, int]:
     """(most differing bits of a pair that stands unverified, most of a pair that is worth verifying).
 
-    Of those at the threshold 0.6 % lie below the first and 2.5 % above the second.
+    Of those at the threshold 0.6 % lie below the first and 0.6 % above the second.
     """
     p = differing(similarity)
-    spread = 2 * np.sqrt(WIDE * p * (1 - p))
-    return int(WIDE * p - 1.25 * spread), int(np.ceil(WIDE * p + spread))
+    spread = 2.5 * np.sqrt(WIDE * p * (1 - p))
+    return int(WIDE * p - spread), int(np.ceil(WIDE * p + spread))
 
 
 def sampled_bits(n: int, similarity: float) -> np.ndarray:
