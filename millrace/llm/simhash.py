@@ -17,7 +17,9 @@ many links as it has fingerprints.  A key with more than ``HOT`` fingerprints is
 ``similar`` links by the Jaccard similarity of the sets of five-word shingles instead (0.8 or more), for which 4 of 64
 bits are too few: fingerprints of ``WIDE`` bits meet under keys of sampled bits (distances to pivots masked to one bit),
 as many keys as find a pair at the threshold with probability ``RECALL``.  Survivors are verified: those of few differing
-bits stand, all others are compared by their whole shingle sets.
+bits stand, all others are compared by their whole shingle sets, a few of each fingerprint at first.  Only links that stand
+or are verified make groups; the other pairs between groups that are still apart are verified in further rounds, until
+none is left.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ SHINGLE, BITS, PIVOTS, HOT, SEED = 4, 4, 16, 4096, 42
 #: binary logarithm of the unrelated fingerprints that share a key, fingerprints in a block of a hot key, and the most
 #: hot keys that are broadcast (16 bytes each; more are joined).
 WORDS, WIDE, RECALL, LOAD, WIDE_HOT, MOST_SENT = 5, 256, 0.995, 7, 2048, 100_000
+#: Pairs to verify that a fingerprint gets under a key in the first round, and how many times more in each round after it.
+FEW, MORE = 2, 8
 PIVOT_TABLE = np.random.default_rng(20240).integers(0, 1 << 64, PIVOTS, np.uint64, endpoint=False)
 
 
@@ -262,11 +266,11 @@ def sampled_keys(bits: np.ndarray, with_prints: bool):
     return run
 
 
-def close_pairs(keys: np.ndarray, prints: np.ndarray, sides: np.ndarray, sure: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, whether it stands): pairs in the same run of equal keys within ``most`` differing bits.
+def _close(keys: np.ndarray, prints: np.ndarray, sides: np.ndarray, sure: int, most: int, groups: np.ndarray | None, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, whether it stands; rows that are left with pairs to verify), of pairs in the same run of equal keys.
 
-    Of the pairs within ``sure`` bits only those that join two groups; of the others those between groups that neighbour
-    each other or join two groups.  So a large group gives a few pairs a fingerprint, not all its pairs.
+    Without groups, pairs within ``sure`` bits stand and make them; those that join two are returned.  Then each row gets
+    its first ``few`` pairs within ``most`` bits to rows of other groups; rows of further ones are left.
     """
     n = len(keys)
     ahead, found, lag = np.arange(n - 1), [], 1
@@ -276,47 +280,59 @@ def close_pairs(keys: np.ndarray, prints: np.ndarray, sides: np.ndarray, sure: i
         if not len(ahead):
             break
         own = ahead[(sides[ahead] == 0) | (sides[ahead] != sides[ahead + lag])]
+        if groups is not None:
+            own = own[groups[own] != groups[own + lag]]
         d = np.bitwise_count(prints[own] ^ prints[own + lag]).sum(1, dtype=np.int32)
         near = d <= most
         found.append((own[near], own[near] + lag, d[near]))
         lag += 1
+    none = np.zeros(0, np.int64)
     if not found:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+        return none, none, np.zeros(0, bool), none
     i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
-    label = list(range(n))
+    take = []
+    if groups is None:
+        label = list(range(n))
 
-    def root(x: int) -> int:
-        while label[x] != x:
-            label[x] = label[label[x]]
-            x = label[x]
-        return x
+        def root(x: int) -> int:
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
 
-    take = []
-    for stands in (True, False):
-        at = np.flatnonzero((d <= sure) == stands)
-        if not stands:
-            groups = np.array([root(x) for x in range(n)])
-            at = at[groups[i[at]] != groups[j[at]]]
+        at = np.flatnonzero(d <= sure)
         for p, a, b in zip(at.tolist(), i[at].tolist(), j[at].tolist(), strict=True):
             x, y = root(a), root(b)
             if x != y:
                 label[max(x, y)] = min(x, y)
                 take.append(p)
-            elif not stands and b - a <= 2:
-                take.append(p)
-    take = np.array(take, np.int64)
-    return i[take], j[take], d[take] <= sure
+        groups = np.array([root(x) for x in range(n)])
+    stand = np.array(take, np.int64)
+    at = np.flatnonzero(groups[i] != groups[j])
+    at = at[np.argsort(i[at], kind="stable")]
+    begins = np.diff(i[at], prepend=-1) != 0
+    place = np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+    left = at[place >= few]
+    take = np.concatenate([stand, at[place < few]])
+    return i[take], j[take], np.arange(len(take)) < len(stand), np.unique(np.concatenate([i[left], j[left]]))
 
 
-def _close_run(sure: int, most: int):
+def close_pairs(keys: np.ndarray, prints: np.ndarray, sides: np.ndarray, sure: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, whether it stands): the first round's pairs in the same run of equal keys within ``most`` differing bits."""
+    return _close(keys, prints, sides, sure, most, None, FEW)[:3]
+
+
+def _close_run(sure: int, most: int, grouped: bool, few: int):
     """Rows come sorted by key; the last run of a batch waits for the next one."""
 
     def emit(batch) -> pa.RecordBatch:
         wide = batch.column(1).cast(pa.binary()).to_pylist()
         prints = np.frombuffer(b"".join(wide), np.uint64).reshape(-1, WIDE // 64)
-        i, j, stands = close_pairs(batch.column(0).to_numpy(), prints, batch.column(2).to_numpy(), sure, most)
+        groups = batch.column(3).to_numpy() if grouped else None
+        i, j, stands, left = _close(batch.column(0).to_numpy(), prints, batch.column(2).to_numpy(), sure, most, groups, few)
         a, b = ([wide[k] for k in x.tolist()] for x in (i, j))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(stands)], ["a", "b", "stands"])
+        open_ = list({wide[k] for k in left.tolist()})
+        return pa.RecordBatch.from_arrays([pa.array(a + open_, pa.binary()), pa.array(b + [None] * len(open_), pa.binary()), pa.array([*stands.tolist(), *[False] * len(open_)], pa.bool_())], ["a", "b", "stands"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -335,20 +351,41 @@ def _close_run(sure: int, most: int):
     return run
 
 
-def close_links(distinct: DataFrame, n: int, similarity: float, hot: int = WIDE_HOT) -> DataFrame:
-    """(a, b binary, stands boolean): pairs of the n different fingerprints in column wide that may be this similar."""
+def close_links(distinct: DataFrame, n: int, similarity: float, hot: int = WIDE_HOT, *, few: int = FEW) -> DataFrame:
+    """(a, b binary, stands boolean): pairs of fingerprints in column wide that may be this similar; a row without b for
+    each fingerprint that has more of them than ``few`` under a key.
+
+    n is the number of all different fingerprints.  With a column group, only pairs of different groups.
+    """
     bits = sampled_bits(n, similarity)
-    sizes = cut(distinct.mapInArrow(sampled_keys(bits, False), "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select(F.col("key").alias("k"), F.ceil(F.col("n") / hot).alias("parts")))
+    grouped = "group" in distinct.columns
+    own = distinct.select("wide")
+    sizes = cut(own.mapInArrow(sampled_keys(bits, False), "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select(F.col("key").alias("k"), F.ceil(F.col("n") / hot).alias("parts")))
     if sizes.count() <= MOST_SENT:
         sizes = F.broadcast(sizes)
-    keyed = distinct.mapInArrow(sampled_keys(bits, True), "key long, wide binary").join(sizes, F.col("key") == F.col("k"), "left")
+    keyed = own.mapInArrow(sampled_keys(bits, True), "key long, wide binary").join(sizes, F.col("key") == F.col("k"), "left")
     # A key of more than ``hot`` fingerprints: part p of them meets parts p.. in keys of their own.
     keyed = keyed.select("key", "wide", F.coalesce("parts", F.lit(1)).alias("parts")).withColumn("p", F.pmod(F.xxhash64("wide"), F.col("parts")))
     others = F.expr("transform(sequence(0L, parts - 1), q -> named_struct('lo', least(p, q), 'hi', greatest(p, q), 'side', if(p = q, 0, if(p < q, 1, 2))))")
     plain = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).alias("side")))
     rows = keyed.select("key", "wide", F.explode(F.when(F.col("parts") > 1, others).otherwise(plain)).alias("o"))
     rows = rows.select(F.xxhash64("key", "o.lo", "o.hi").alias("key"), "wide", F.col("o.side").alias("side"))
-    return rows.repartition(F.col("key")).sortWithinPartitions("key", F.xxhash64("key", "wide")).mapInArrow(_close_run(*limits(similarity)), "a binary, b binary, stands boolean")
+    if grouped:
+        rows = rows.join(distinct.select("wide", "group"), "wide").select("key", "wide", "side", "group")
+    return rows.repartition(F.col("key")).sortWithinPartitions("key", F.xxhash64("key", "wide")).mapInArrow(_close_run(*limits(similarity), grouped, few), "a binary, b binary, stands boolean")
+
+
+def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, id_column: str, text_column: str, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose whole shingle sets are this similar."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("wide")).distinct()
+    # Whole shingle sets of those that need them: one row of each class, found through its least id.
+    chosen = fresh("_least", documents.columns)
+    wanted = classes.join(ends, "wide", "left_semi").select(F.col("least").alias(chosen)).distinct()
+    rows = documents.join(wanted, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(chosen)), "left_semi")
+    sets = cut(wide_prints(rows, id_column, text_column, size, sets=True).join(ends, "wide", "left_semi").groupBy("wide").agg(F.first("shingles").alias("shingles")))
+    side = lambda name: sets.select(F.col("wide").alias(name), F.col("shingles").alias(f"s{name}"))
+    both, shared = F.size("sa") + F.size("sb"), F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(shared * (1 + similarity) >= both * similarity - 1e-9).select("a", "b")
 
 
 def similar(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, similarity: float = 0.8) -> DataFrame:
@@ -360,19 +397,24 @@ def similar(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     prints = cut(wide_prints(documents, id_column, text_column, size))
     classes = cut(prints.groupBy("wide").agg(F.min("doc_id").alias("least")))
-    found = cut(close_links(classes.select("wide"), classes.count(), similarity).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("stands").alias("stands")))
-    doubtful = found.filter("not stands").select("a", "b")
-    ends = doubtful.select(F.explode(F.array("a", "b")).alias("wide")).distinct()
-    # Whole shingle sets of those that need them: one row of each class, found through its least id.
-    chosen = fresh("_least", documents.columns)
-    wanted = classes.join(ends, "wide", "left_semi").select(F.col("least").alias(chosen)).distinct()
-    rows = documents.join(wanted, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(chosen)), "left_semi")
-    sets = cut(wide_prints(rows, id_column, text_column, size, sets=True).join(ends, "wide", "left_semi").groupBy("wide").agg(F.first("shingles").alias("shingles")))
-    side = lambda name: sets.select(F.col("wide").alias(name), F.col("shingles").alias(f"s{name}"))
-    both, shared = F.size("sa") + F.size("sb"), F.size(F.array_intersect("sa", "sb"))
-    same = doubtful.join(side("a"), "a").join(side("b"), "b").filter(shared * (1 + similarity) >= both * similarity - 1e-9).select("a", "b")
-    linked = found.filter("stands").select("a", "b").union(same).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
-    joined = components(linked)
+    n, few, open_, linked, tried = classes.count(), FEW, classes.select("wide"), None, None
+    while True:
+        found = cut(close_links(open_, n, similarity, few=few).groupBy(F.least("a", "b").alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).agg(F.max("stands").alias("stands")))
+        doubtful = found.filter("b is not null and not stands").select("a", "b")
+        if tried is not None:
+            doubtful = cut(doubtful.join(tried, ["a", "b"], "left_anti"))
+        same = verified(documents, classes, doubtful, id_column, text_column, size, similarity)
+        new = found.filter("stands").select("a", "b").union(same).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+        linked = cut(new if linked is None else linked.union(new))
+        tried = doubtful if tried is None else cut(tried.union(doubtful))
+        joined = components(linked)
+        # Fingerprints with further pairs are searched again, each with more pairs, between the groups that are still apart.
+        more = found.filter("b is null").select(F.col("a").alias("wide"))
+        if more.isEmpty():
+            break
+        few *= MORE
+        open_ = more.withColumn("fp", F.xxhash64("wide")).join(joined, F.col("fp") == F.col("id"), "left").select("wide", F.coalesce("component", "fp").alias("group"))
+        open_ = cut(open_)
     classes = classes.withColumn("fp", F.xxhash64("wide"))
     classes = cut(classes.join(joined, F.col("fp") == F.col("id"), "left").select("wide", "least", F.coalesce("component", "fp").alias("component")))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -477,6 +477,50 @@ def test_close_pairs_of_a_large_group_are_few():
     assert not len(none[0])
 
 
+def test_similar_finds_the_true_pairs_of_a_doubtful_group(spark):
+    """Any two of the texts share enough that they may be similar; few pairs are."""
+    random.seed(21)
+    word = lambda: "".join(random.choices("abcdefgh", k=7))
+    base, rows = [word() for _ in range(200)], []
+    for k in range(300):
+        own = list(base)
+        for i in random.sample(range(200), 3):
+            own[i] = word()
+        rows.append(own)
+    for k in range(12):
+        own = list(rows[k])
+        for i in random.sample(range(200), 3):
+            own[i] = word()
+        rows.append(own)
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    sets = [simhash.shingle_set(t.encode()) for _, t in rows]
+    true = [(i, j) for i in range(312) for j in range(i) if len(np.intersect1d(sets[i], sets[j], True)) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert sum(i - 300 == j for i, j in true) == 12
+    prints = np.array([np.frombuffer(simhash.wide_fingerprint(x), np.uint64) for x in sets])
+    sure, most = simhash.limits(0.8)
+    d = np.array([np.bitwise_count(prints[i] ^ prints[j]).sum() for i, j in true])
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [p for p, own in zip(true, d, strict=True) if own <= most and got[p[0]] != got[p[1]]]
+    assert len(lost) <= 2 * (1 - simhash.RECALL) * len(true)  # those that meet under no key
+
+
+def test_close_rounds_leave_no_pair_of_different_groups():
+    """Pairs that no round verifies: by the last one every pair was asked for."""
+    rng = np.random.default_rng(5)
+    one = np.unpackbits(rng.integers(0, 256, 32, np.uint8))
+    rows = np.array([np.packbits(np.where(rng.random(256) < 0.08, 1 - one, one)) for _ in range(60)]).view(np.uint64)
+    zero, (sure, most) = np.zeros(60, np.int64), simhash.limits(0.8)
+    d = np.bitwise_count(rows[:, None] ^ rows[None]).sum(2)
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if d[a, b] <= most}
+    assert len(want) > 1000
+    asked, few, left = set(), simhash.FEW, np.arange(60)
+    while len(left):
+        i, j, _, more = simhash._close(zero[left], rows[left], zero[left], sure, most, left, few)
+        asked |= set(zip(left[i].tolist(), left[j].tolist(), strict=True))
+        left, few = left[more], few * simhash.MORE
+    assert asked == want
+
+
 def test_one_of_each(documents):
     kept = simhash.one_of_each(documents)
     assert kept.columns == documents.columns
