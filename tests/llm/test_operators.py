@@ -248,6 +248,28 @@ def test_decontamination(spark):
     assert decontam.find(d.limit(0), b).count() == 0
 
 
+def hot_item(spark, n, hot):
+    """n texts; one item of 15 words stands in the first ``hot``, with a group of exact copies among them; others rare."""
+    random.seed(14)
+    vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(3, 8))) for _ in range(2000)]
+    draw = lambda k: random.choices(vocabulary, k=k)
+    items = [draw(15) for _ in range(30)]
+    docs = [draw(40) + (items[0] if k < hot else []) + draw(40) for k in range(n)]
+    for k in range(hot // 3):
+        docs[k] = docs[0]
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    return {r.doc_id for r in decontam.find(d, b).collect() if r.contaminated}
+
+
+def test_decontamination_of_an_item_in_a_third_of_the_texts(spark):
+    assert hot_item(spark, 300, 100) == set(range(100))
+
+
+def test_decontamination_of_five_texts(spark):
+    assert hot_item(spark, 5, 2) == {0, 1} and hot_item(spark, 5, 5) == set(range(5))
+
+
 def test_common_subsequence():
     random.seed(1)
     for _ in range(50):
