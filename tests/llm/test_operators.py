@@ -270,6 +270,18 @@ def test_decontamination_of_five_texts(spark):
     assert hot_item(spark, 5, 2) == {0, 1} and hot_item(spark, 5, 5) == set(range(5))
 
 
+@pytest.mark.parametrize("length", [49, 140, 300, 1000])
+def test_decontamination_of_long_items(spark, length):
+    random.seed(length)
+    vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(3, 8))) for _ in range(2000)]
+    draw = lambda k: random.choices(vocabulary, k=k)
+    items = [draw(length) for _ in range(6)]
+    docs = [draw(random.randint(30, 200)) + (items[k] if k < 6 else []) + draw(70) for k in range(40)]
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find(d, b).collect() if r.contaminated} == {(k, k) for k in range(6)}
+
+
 def test_common_subsequence():
     random.seed(1)
     for _ in range(50):
