@@ -209,6 +209,15 @@ def test_quality_keeps_the_clean(spark):
     assert quality.keep(d).columns == d.columns and quality.keep(d).count() == quality.judge(d).filter("kept").count()
 
 
+def test_quality_keeps_a_language_of_very_long_words(spark):
+    random.seed(6)
+    run = lambda: "".join(chr(0x4E00 + int(random.paretovariate(0.7)) % 3000) for _ in range(random.randint(25, 60)))
+    rows = [(k, " ".join(run() for _ in range(random.randint(22, 60))), "zh") for k in range(200)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert np.median([r.bits_per_word for r in got]) > 110 and not any(r.base_failed for r in got)
+    assert np.mean([r.kept for r in got]) > 0.97
+
+
 def test_kneser_ney_sums_to_one():
     random.seed(2)
     s = kneser_ney.fold(np.array([ord(c) for c in "".join(random.choices("abcde fgh", k=5000))]))
