@@ -1,7 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
 The page is cut into blocks at block-level tags.  The first pass decides each block from its length, its stop-word
-density, its link density and the sections it stands in: ``good``, ``bad``, or undecided (``near``, ``short``).  Sections
+density, its link density and the sections it stands in: ``good``, ``bad``, or undecided (``near``, ``short``).  Few stop
+words make no block bad: it may be a table, code, or of another language.  On a page where no block is good, all
+that are near are.  Sections
 that are never the article (menus, footers, asides, forms, adverts, notices, comments; by tag, role, class or id) make
 their blocks bad.  The second pass lets undecided blocks take the label of the nearest decided block of the same section
 (distance in characters of text, the block before on a tie); a section without decided
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ._text import as_text
 
-#: Characters of a short block, of a long one; link density from which a block is bad; stop-word densities of good and near.
-SHORT, LONG, LINKS, STOP_HIGH, STOP_LOW = 70, 200, 0.34, 0.30, 0.15
+#: Characters of a short block, of a long one; link density from which a block is bad; stop-word density of good.
+SHORT, LONG, LINKS, STOP_HIGH = 70, 200, 0.34, 0.30
 
 STOP_WORDS = frozenset(
     (
@@ -162,10 +164,13 @@ def classify(blocks: list[Block]) -> None:
             b.label = "short"
         elif stop >= STOP_HIGH:
             b.label = "good" if len(b.text) > LONG or b.article else "near"
-        elif stop >= STOP_LOW or b.article:
-            b.label = "near"
         else:
-            b.label = "short" if len(b.text) < LONG else "bad"
+            b.label = "near"
+    if not any(b.label == "good" for b in blocks):
+        # No known language, or no prose: length alone decides, and the links that made blocks bad above.
+        for b in blocks:
+            if b.label == "near":
+                b.label = "good"
     by_section: dict[int, list[int]] = {}
     for k, b in enumerate(blocks):
         by_section.setdefault(b.section, []).append(k)

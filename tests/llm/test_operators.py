@@ -172,6 +172,20 @@ def test_boilerplate_goes():
     assert html.extract("<article><p>a<b>b&nbsp;c</article><footer>d") == "ab c"
 
 
+def test_pages_of_divs_alone_come_whole():
+    menu = '<div class=top><a href=1>Uutiset ja kaikki muut sivut</a> <a href=2>Hae sivuilta lisää tietoa aiheesta</a> <a href=3>Ota yhteyttä meihin heti</a></div>'
+    finnish = "Kaupungin valtuusto päätti eilen illalla uuden kirjaston rakentamisesta keskustaan, ja työt alkavat ensi keväänä heti lumien sulettua. " * 3
+    page = f"<body>{menu}<div class=content><h1>Otsikko</h1><p>{finnish}</p><p>Lyhyt loppu.</p></div><footer>Yhtiö</footer></body>"
+    assert html.extract(page) == f"Otsikko {finnish.strip()} Lyhyt loppu."
+    assert html.extract(f"<body>{menu}<p>{finnish}</p><p>{finnish}</p></body>") == f"{finnish.strip()} {finnish.strip()}"
+    english = "This is the long text of the page and it is about the thing that was in the news for the last days, with more words to make it longer than the limit that was set for it in the code of the program, as it is to be."
+    code = "def compute(values): total = sum(v * weight[v] for v in values); return normalise(total, scale=4.5) " * 3
+    assert html.extract(f"<body>{menu}<div><p>{english}</p><pre>{code}</pre><p>Short end.</p></div></body>") == f"{english} {code.strip()} Short end."
+    cells = "".join(f"<tr><td>Item {k}</td><td>{k * 7}.50</td></tr>" for k in range(3))
+    assert html.extract(f"<body><div><p>{english}</p><table>{cells}</table></div></body>").endswith("Item 2 14.50")
+    assert html.extract(f"<body>{menu}<pre>{code}</pre></body>") == code.strip()
+
+
 # 5
 
 
