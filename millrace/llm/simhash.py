@@ -329,10 +329,14 @@ def _close_run(sure: int, most: int, grouped: bool, few: int):
         wide = batch.column(1).cast(pa.binary()).to_pylist()
         prints = np.frombuffer(b"".join(wide), np.uint64).reshape(-1, WIDE // 64)
         groups = batch.column(3).to_numpy() if grouped else None
-        i, j, stands, left = _close(batch.column(0).to_numpy(), prints, batch.column(2).to_numpy(), sure, most, groups, few)
+        keys = batch.column(0).to_numpy()
+        i, j, stands, left = _close(keys, prints, batch.column(2).to_numpy(), sure, most, groups, few)
         a, b = ([wide[k] for k in x.tolist()] for x in (i, j))
-        open_ = list({wide[k] for k in left.tolist()})
-        return pa.RecordBatch.from_arrays([pa.array(a + open_, pa.binary()), pa.array(b + [None] * len(open_), pa.binary()), pa.array([*stands.tolist(), *[False] * len(open_)], pa.bool_())], ["a", "b", "stands"])
+        # Those left under a key are one bunch, named by its first.
+        _, first, bunch = np.unique(keys[left], return_index=True, return_inverse=True)
+        a += [wide[k] for k in left.tolist()]
+        b += [wide[k] for k in left[first][bunch].tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([*stands.tolist(), *[None] * len(left)], pa.bool_())], ["a", "b", "stands"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -352,8 +356,8 @@ def _close_run(sure: int, most: int, grouped: bool, few: int):
 
 
 def close_links(distinct: DataFrame, n: int, similarity: float, hot: int = WIDE_HOT, *, few: int = FEW) -> DataFrame:
-    """(a, b binary, stands boolean): pairs of fingerprints in column wide that may be this similar; a row without b for
-    each fingerprint that has more of them than ``few`` under a key.
+    """(a, b binary, stands boolean): pairs of fingerprints in column wide that may be this similar; where stands is null,
+    a has more of them than ``few`` under a key, all with fingerprints of the bunch b.
 
     n is the number of all different fingerprints.  With a column group, only pairs of different groups.
     """
@@ -399,8 +403,10 @@ def similar(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     classes = cut(prints.groupBy("wide").agg(F.min("doc_id").alias("least")))
     n, few, open_, linked, tried = classes.count(), FEW, classes.select("wide"), None, None
     while True:
-        found = cut(close_links(open_, n, similarity, few=few).groupBy(F.least("a", "b").alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).agg(F.max("stands").alias("stands")))
-        doubtful = found.filter("b is not null and not stands").select("a", "b")
+        found = close_links(open_, n, similarity, few=few)
+        low, high = (F.when(F.col("stands").isNull(), F.col(plain)).otherwise(f("a", "b")) for plain, f in (("a", F.least), ("b", F.greatest)))
+        found = cut(found.select(low.alias("a"), high.alias("b"), "stands").distinct())
+        doubtful = found.filter("not stands").select("a", "b")
         if tried is not None:
             doubtful = cut(doubtful.join(tried, ["a", "b"], "left_anti"))
         same = verified(documents, classes, doubtful, id_column, text_column, size, similarity)
@@ -408,13 +414,14 @@ def similar(documents: DataFrame, id_column: str = "doc_id", text_column: str =
         linked = cut(new if linked is None else linked.union(new))
         tried = doubtful if tried is None else cut(tried.union(doubtful))
         joined = components(linked)
-        # Fingerprints with further pairs are searched again, each with more pairs, between the groups that are still apart.
-        more = found.filter("b is null").select(F.col("a").alias("wide"))
-        if more.isEmpty():
+        # Bunches that are of more than one group still are searched again, with more pairs for each fingerprint.
+        more = found.filter("stands is null").select(F.col("a").alias("wide"), F.col("b").alias("bunch")).withColumn("fp", F.xxhash64("wide"))
+        more = cut(more.join(joined, F.col("fp") == F.col("id"), "left").select("wide", "bunch", F.coalesce("component", "fp").alias("group")))
+        apart = more.groupBy("bunch").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y").select("bunch")
+        open_ = cut(more.join(apart, "bunch", "left_semi").select("wide", "group").distinct())
+        if open_.isEmpty():
             break
         few *= MORE
-        open_ = more.withColumn("fp", F.xxhash64("wide")).join(joined, F.col("fp") == F.col("id"), "left").select("wide", F.coalesce("component", "fp").alias("group"))
-        open_ = cut(open_)
     classes = classes.withColumn("fp", F.xxhash64("wide"))
     classes = cut(classes.join(joined, F.col("fp") == F.col("id"), "left").select("wide", "least", F.coalesce("component", "fp").alias("component")))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
