@@ -1,16 +1,17 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text is cut at ASCII white space, across which this kind of vocabulary never merges, and each different word is
-encoded once by the tokenizers library.  Unsplit text longer than ``leaf`` characters is cut into leaves, which the
-library encodes in parallel (one batch call over the leaves of all long words), and the leaves are joined pairwise in a
-balanced tree.  A join re-encodes a window around the cut and widens it until a token of the window equals, in id and in
-characters covered, a token of the left side and one of the right side.
+Texts of at most ``LEAF`` characters are encoded whole, in batches, by the tokenizers library.  A longer text is cut into
+leaves, wherever the length says, in words or between them; the leaves go to the library in one batch and are joined
+pairwise in a balanced tree.  A join re-encodes a window around the cut and widens it until a token of the window equals,
+in id and in characters covered, a token of the left side and one of the right side.
 
 Why one agreeing token on each side is enough: a sequence of tokens is the BPE encoding of its text exactly if every two
 neighbours are the encoding of their own text.  All neighbours left of the agreeing token were neighbours in the left
 side, those from it to the right were neighbours in the window, and likewise on the other end.  Window edges never fall
 before a combining character, so normalisation can't reach across them, and tokens near an artificial edge don't count
 as agreeing (word ends, contractions and special tokens are decided there by what follows).
+
+Tasks are the parallelism on a cluster, so the library's own threads stay off unless TOKENIZERS_PARALLELISM asks for them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import os
 import unicodedata
-from collections.abc import Iterable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,13 +27,12 @@ from pyspark.sql import functions as F
 
 from ._text import as_text, chunks
 
-#: Characters of unsplit text above which it is cut into leaves, and of the first window on each side of a join.
-LEAF, WINDOW = 4096, 64
+#: Characters of a text above which it is cut into leaves of so many, and of the first window on each side of a join.
+LEAF, WINDOW = 8192, 64
 #: Characters next to an artificial edge in which agreement doesn't count: longer than a special token or contraction.
 EDGE = 32
-#: Words kept by a worker; memory stays below about 100 MB.
-CACHE = 250_000
-CACHED_BYTES = 48
+#: Bytes of text that are encoded at once.
+BATCH = 1 << 20
 
 Token = tuple[int, int, int]  # id, first character, end
 
@@ -46,7 +45,7 @@ def default_path() -> str:
 
 @lru_cache(4)
 def tokenizer(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -98,7 +97,7 @@ def _from(side: list[Token], at: int) -> int:
 
 
 def encode_long(text: str, encode, leaf: int = LEAF, window: int = WINDOW, edge: int = EDGE) -> list[int]:
-    """The ids of an unsplit text: leaves in one batch, then joins, pair by pair, up the tree."""
+    """The ids of a long text: leaves in one batch, then joins, pair by pair, up the tree."""
     cuts = [0]
     while len(text) - cuts[-1] > leaf:
         at = safe_cut(text, cuts[-1] + leaf)
@@ -133,52 +132,40 @@ def join(text: str, a: int, m: int, b: int, x: list[Token], y: list[Token], enco
 
 
 class Encoder:
-    """Encodes texts word by word; keeps the most recent words' ids."""
+    """Encodes texts: short ones in batches, long ones as trees of leaves."""
 
     def __init__(self, path: str, leaf: int = LEAF):
         self.library, self.leaf = tokenizer(path), leaf
-        self.pieces: dict[int, bytes] = {}
-        self.young: dict[bytes, tuple[int, bytes, bytes]] = {}
-        self.old: dict[bytes, tuple[int, bytes, bytes]] = {}
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.pieces = [self.library.id_to_token(i) or "" for i in range(size)]
+        self.decimals = [str(i) for i in range(size)]
+        self.long_texts = 0
 
     def whole(self, texts: list[str]):
         return self.library.encode_batch(texts, add_special_tokens=False)
 
-    def piece(self, i: int) -> bytes:
-        if i not in self.pieces:
-            self.pieces[i] = self.library.id_to_token(i).encode()
-        return self.pieces[i]
-
-    def _entry(self, ids: list[int]) -> tuple[int, bytes, bytes]:
-        return len(ids), b" ".join(b"%d" % i for i in ids), b" ".join(map(self.piece, ids))
-
-    def words(self, texts: Iterable[bytes]) -> list[list[tuple[int, bytes, bytes]]]:
-        """Of each text, (number of ids, ids in decimal, decoded) of each word."""
-        split = [t.split() for t in texts]
-        known, young, old = {}, self.young, self.old
-        fresh = []
-        for w in set().union(*split) if split else ():
-            e = young.get(w)
-            if e is None and (e := old.get(w)) is None:
-                fresh.append(w)
-            else:
-                known[w] = young[w] = e
-        short = [w for w in fresh if len(w) <= self.leaf]
-        for k in range(0, len(short), 8192):
-            own = short[k : k + 8192]
-            for w, e in zip(own, self.library.encode_batch_fast([w.decode() for w in own], add_special_tokens=False), strict=True):
-                known[w] = e = self._entry(e.ids)
-                if len(w) <= CACHED_BYTES:
-                    young[w] = e
-        for w in fresh:
-            if len(w) > self.leaf:
-                known[w] = self._entry(encode_long(w.decode(), self.whole, self.leaf))
-        if len(young) > CACHE // 2:
-            self.young, self.old = {}, young
-        return [[known[w] for w in ws] for ws in split]
+    def texts(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        short = [t for t in texts if len(t) <= self.leaf]
+        found = iter(self.library.encode_batch_fast(short, add_special_tokens=False) if short else ())
+        self.long_texts += len(texts) - len(short)
+        return [next(found).ids if len(t) <= self.leaf else encode_long(t, self.whole, self.leaf) for t in texts]
 
     def ids(self, text: str) -> list[int]:
-        return [int(i) for n, ids, _ in self.words([text.encode()])[0] if n for i in ids.split()]
+        return self.texts([text])[0]
+
+    def decode(self, ids: list[int]) -> str:
+        """The library's decode(ids, skip_special_tokens=False) of a vocabulary without decoder: the pieces, by one space."""
+        return " ".join([self.pieces[i] for i in ids])
+
+    def decimal(self, ids: list[int]) -> str:
+        return " ".join([self.decimals[i] for i in ids])
+
+
+@lru_cache(4)
+def _encoder(path: str) -> Encoder:
+    """One in a worker and vocabulary."""
+    return Encoder(path)
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long"
@@ -194,16 +181,15 @@ def encode_documents(documents: DataFrame, path: str | None = None, id_column: s
     schema = SCHEMA + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches):
-        coder = Encoder(path)
+        coder = _encoder(path)
         for batch in batches:
             own = batch.column(0)
             rows: list[tuple] = []
-            for _, part in chunks(batch.column(1), 1 << 21):
-                for entries in coder.words(part):
-                    entries = [e for e in entries if e[0]]
-                    ids, decoded = b" ".join([e[1] for e in entries]), b" ".join([e[2] for e in entries])
-                    row = (sum([e[0] for e in entries]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), len(decoded.decode()))
-                    rows.append((*row, [int(i) for i in ids.split()], decoded.decode()) if with_ids else row)
+            for _, part in chunks(batch.column(1), BATCH):
+                for ids in coder.texts([t.decode() for t in part]):
+                    decoded = coder.decode(ids)
+                    row = (len(ids), hashlib.sha256(coder.decimal(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), len(decoded))
+                    rows.append((*row, ids, decoded) if with_ids else row)
             columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * (6 if with_ids else 4)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.string()]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars", "ids", "decoded"]
@@ -213,6 +199,5 @@ def encode_documents(documents: DataFrame, path: str | None = None, id_column: s
 
 
 def decode_ids(ids: list[int], path: str | None = None) -> str:
-    """The library's decode(ids, skip_special_tokens=False) of a vocabulary without decoder: the pieces, by one space."""
-    t = tokenizer(path or default_path())
-    return " ".join(t.id_to_token(i) for i in ids)
+    """The text of ids, special tokens included."""
+    return _encoder(path or default_path()).decode(ids)

@@ -93,6 +93,15 @@ def test_joined_leaves_equal_the_library():
         assert bpe.encode_long(s, coder.whole, leaf=random.choice([8, 16, 33]), window=random.choice([2, 5])) == t.encode(s, add_special_tokens=False).ids
 
 
+def test_whole_texts_through_the_tree(texts):
+    """Texts of the table cut anywhere, at white space or in words, and texts of nothing but it."""
+    t, coder = bpe.tokenizer(bpe.default_path()), bpe.Encoder(bpe.default_path(), leaf=64)
+    own = [x or "" for _, x, _ in texts] + [" " * 5000 + "a", "ab \n" * 3000, "!" * 3000 + "'s", "x" * 20_000]
+    assert coder.texts(own) == [e.ids for e in t.encode_batch(own, add_special_tokens=False)]
+    assert coder.long_texts > len(texts) // 2
+    assert max(len(x) for x in own) > bpe.LEAF
+
+
 def test_ids_and_decoded_come_on_request(odd):
     r = bpe.encode_documents(odd, with_ids=True).filter("doc_id = 1").collect()[0]
     assert r.decoded == bpe.decode_ids(r.ids) and len(r.ids) == r.n_tokens
