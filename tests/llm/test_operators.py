@@ -139,6 +139,54 @@ def test_novelty_finds_what_no_pattern_knows():
     assert [k for *_, k in found] == ["novelty"]
     assert secrets.novel_spans("the key of configuration_manager_default_value1 and session") == []
     assert secrets.novel_spans("key " + "ab1" * 12) == []
+    assert secrets.novel_spans("the author's document_v20231115_final2") == secrets.novel_spans("monkey q8ZtR4xPz0LmN7vKc2Yw9Ds1") == []
+
+
+def test_novelty_recall_and_precision():
+    """Planted random strings that no base pattern finds, and identifiers in the same contexts."""
+    random.seed(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    contexts = ["Authorization: Bearer {}", "the private key is {} .", "aws_credentials {}", "sessionToken -> {}", "pwd {} end", "client auth ({})", "PRIVATE_KEY\n{}"]
+    around = "def load_config(path): return path\n{} and other text after it"
+    found = 0
+    planted = ["".join(random.choices(letters + random.choice(["", "+/", "_-"]), k=random.randint(20, 64))) for _ in range(200)]
+    for own in planted:
+        text = around.format(random.choice(contexts).format(own))
+        assert not secrets.base_spans(text)
+        found += any(text[a:b] == own for a, b, _ in secrets.novel_spans(text))
+    assert found >= 0.97 * len(planted)
+    words = "document version final configuration manager default value request handler service user client session database connection response factory number".split()
+    wrong = 0
+    for _ in range(200):
+        w = [x if random.random() < 0.5 else x.capitalize() for x in random.sample(words, 3)]
+        own = random.choice(["{0}_{1}_{2}_v2023", "{0}-{1}-{2}-2024", "{0}_v20231115_{1}2", "{0}{1}{2}123", "{0}/{1}/{2}/1234", "{0}_{1}_0001_{2}"]).format(*w)
+        wrong += bool(secrets.novel_spans(around.format(random.choice(contexts).format(own))))
+    assert wrong <= 4
+
+
+def test_novelty_dictionary_is_learned(spark):
+    """Parts that many documents have make an identifier known; those of one document don't."""
+    rows = [(k, f"the zorble_quandix_{k} = vextraModule{k}") for k in range(30)] + [(99, "private key zorbleQuandixVextra77 and ghostly_nameless_unseenword99")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = secrets.learn(d.select("text"))
+    assert set(parts) == {"zorble", "quandix", "vextra", "module"}
+    assert secrets.novel_spans(rows[-1][1], parts) != secrets.novel_spans(rows[-1][1])
+    assert not any("zorble" in rows[-1][1][a:b] for a, b, _ in secrets.novel_spans(rows[-1][1], parts))
+
+
+def test_secrets_of_a_very_long_text_take_linear_time():
+    import time
+
+    random.seed(4)
+    took = []
+    for n in (300_000, 600_000):
+        run = "".join(random.choices("ABCDEFGHabcdefgh0123456789+/", k=n))
+        began = time.process_time()
+        assert [k for *_, k in secrets.novel_spans("private key " + run)] == ["novelty"]
+        secrets.novel_spans(("key " * 4 + "a1B" * 6 + " ") * (n // 40))
+        secrets.parts_of(run), secrets.parts_of("a" * n), secrets.parts_of("a_" * n), secrets.parts_of("aB" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 4 * took[0] + 0.5
 
 
 # 3
