@@ -4,16 +4,16 @@ Features are the character 1- to 4-grams of the lower-cased words (with a mark o
 A text's vector is the mean embedding of its grams; its logits are a linear map of that mean.  For prediction the two are
 multiplied out once, so that a gram costs one row of as many numbers as there are languages.
 
-The classifier is fitted on at most ``PER_LANGUAGE`` labelled rows of a language, chosen by the smallest hashes of their
-id (a documented, bounded sample; what reaches the driver are hashed counts of at most ``BUCKETS`` entries a row, never
-texts).  One in five of them calibrates the temperature of the softmax and the score below which ``rejected`` is true.
+The classifier is fitted on at most ``PER_LANGUAGE`` different labelled rows of a language, and ``MOST_ROWS`` in all, those
+with the smallest hashes of id and text (a documented, bounded sample, cut on the executors; what reaches the driver are
+hashed counts of at most ``BUCKETS`` entries of 6 bytes a row, never texts).  One in five of them calibrates the temperature of the softmax and the score below which ``rejected`` is true.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._text import as_text, chunks, mix, remainder
@@ -22,6 +22,8 @@ BUCKETS, DIM, PER_LANGUAGE, EPOCHS, RATE = 1 << 15, 16, 1000, 6, 0.6
 #: Rejection: of the calibration rows that stay accepted, at most this share may be wrong.
 ERROR = 0.01
 ORDERS = (1, 2, 3, 4)
+#: Rows that the classifier is fitted on, of all languages together; steps of the descent at least, however few the rows.
+MOST_ROWS, STEPS = 8000, 4000
 
 
 def letters_of(text: str) -> np.ndarray:
@@ -105,6 +107,7 @@ def fit(rows: list[tuple[int, str, np.ndarray, np.ndarray]], buckets: int = BUCK
     held = [d for k, d in enumerate(data) if k % 5 == 4] or data
     train = [d for k, d in enumerate(data) if k % 5 != 4]
     embed, soft = random.normal(0, 1 / dim, (buckets, dim)), np.zeros((dim, len(languages)))
+    epochs = max(epochs, -(-STEPS // max(1, len(train))))
     total, step = epochs * len(train), 0
     for _ in range(epochs):
         for k in random.permutation(len(train)):
@@ -130,26 +133,28 @@ def fit(rows: list[tuple[int, str, np.ndarray, np.ndarray]], buckets: int = BUCK
 
 
 def sample(documents: DataFrame, id_column: str, text_column: str, label_column: str, per_language: int) -> list[tuple]:
-    """Hashed features of at most per_language rows of each language, those with the smallest hashes of their id."""
+    """Hashed features of at most per_language rows of each language: different rows with the smallest hashes."""
     labelled = documents.filter(F.col(f"`{label_column}`").isNotNull() & as_text(text_column).isNotNull()).select(
-        F.xxhash64(as_text(id_column)).alias("h"), as_text(label_column).alias("lang"), as_text(text_column).alias("text")
+        F.xxhash64(as_text(id_column), as_text(text_column)).alias("h"), as_text(label_column).alias("lang"), as_text(text_column).alias("text")
     )
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    # The share of hashes that gives a little more than is needed; the exact number is cut below, on small rows.
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.3 * per_language / n + 50 / n))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
-    chosen = labelled.filter((F.shiftrightunsigned("h", 1) / F.lit(2.0**63)) <= share[F.col("lang")])
+    # Different rows only: repeats of one row, however many, count once.
+    counts = {r.lang: r.n for r in labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return []
+    per_language = max(1, min(per_language, MOST_ROWS // len(counts)))
+    # The share of hashes that gives a little more than is needed; the exact number is cut by rank.
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.3 * per_language / n + 50 / n))])
+    near = labelled.filter((F.shiftrightunsigned("h", 1) / F.lit(2.0**63)) <= share[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h"))
+    chosen = near.withColumn("r", rank).filter(F.col("r") <= per_language).select("h", "lang", "text")
 
     def run(batches):
         for batch in batches:
             own = [features(t.as_py() or "") for t in batch.column(2)]
-            packed = [pa.array([x[k].astype("<i4").tobytes() for x in own], pa.binary()) for k in (0, 1)]
+            packed = [pa.array([x[k].astype(kind).tobytes() for x in own], pa.binary()) for k, kind in ((0, "<u2"), (1, "<i4"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], ["h", "lang", "buckets", "counts"])
 
-    rows = [(r.h, r.lang, np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4")) for r in chosen.mapInArrow(run, "h long, lang string, buckets binary, counts binary").collect()]
-    kept: list[tuple] = []
-    for lang in counts:
-        kept += sorted((r for r in rows if r[1] == lang), key=lambda r: (r[0] & (2**64 - 1), len(r[2])))[:per_language]
-    return kept
+    return [(r.h & (1 << 63) - 1, r.lang, np.frombuffer(r.buckets, "<u2").astype(np.int64), np.frombuffer(r.counts, "<i4")) for r in chosen.mapInArrow(run, "h long, lang string, buckets binary, counts binary").collect()]
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
