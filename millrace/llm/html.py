@@ -3,9 +3,14 @@
 The page is cut into blocks at block-level tags.  The first pass decides each block from its length, its stop-word
 density, its link density and the sections it stands in: ``good``, ``bad``, or undecided (``near``, ``short``).  Few stop
 words make no block bad: it may be a table, code, or of another language.  On a page where no block is good, all
-that are near are.  Sections
-that are never the article (menus, footers, asides, forms, adverts, notices, comments; by tag, role, class or id) make
-their blocks bad.  The second pass lets undecided blocks take the label of the nearest decided block of the same section
+that are near are.
+
+Sections that are never the article (menus, footers, asides, forms, adverts, comments; by tag, role, class or id) make
+their blocks bad.  Words that an article may use itself (legal, notice, related, side, tags) are doubtful: such a block
+is bad unless it stands in the article and its density makes it good, or unless the page has nothing else.  ``article`` and ``main`` win
+over the rest of a page if they hold at least as much text that may be the article's; a teaser in one does not.
+
+The second pass lets undecided blocks take the label of the nearest decided block of the same section
 (distance in characters of text, the block before on a tie); a section without decided
 blocks is good if it is the article itself, else its near blocks decide it.
 """
@@ -38,15 +43,19 @@ STOP_WORDS = frozenset(
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is never text.
-RAW = frozenset("script style template noscript iframe object svg math canvas audio video select textarea head".split())
+RAW = frozenset("script style template noscript iframe object svg math canvas audio video select textarea title".split())
+#: Of these, the ones that may stand in one another.
+NESTED = frozenset("template object svg math canvas audio video select".split())
 #: Sections that are never the article.
 BAD_TAGS = frozenset("nav footer aside form menu dialog button fieldset label".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of a class or an id.
+#: Words of a class or an id: of sections that are never the article, and doubtful ones.
 BAD_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget cookie cookies consent gdpr notice notices notification alert "
-    "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments reply replies respond disqus footer masthead topbar toolbar pagination pager tags search form skip legal copyright".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner menu nav navbar navigation breadcrumb breadcrumbs sidebar widget cookie cookies consent gdpr notification alert "
+    "popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus footer masthead topbar toolbar pagination pager".split()
 )
+DOUBTFUL_WORDS = frozenset("legal copyright notice notices related recommended promotion side skip search form tags".split())
+BAD, DOUBTFUL = 2, 1
 ARTICLE = frozenset("article main".split())
 CLOSES_P = BLOCK - {"br"}
 
@@ -59,29 +68,47 @@ WORD = re.compile(r"[^\W\d_]+")
 class Block:
     __slots__ = ("text", "linked", "bad", "section", "article", "heading", "label")
 
-    def __init__(self, text: str, linked: int, bad: bool, section: int, article: bool, heading: bool):
+    def __init__(self, text: str, linked: int, bad: int, section: int, article: bool, heading: bool):
         self.text, self.linked, self.bad, self.section, self.article, self.heading, self.label = text, linked, bad, section, article, heading, ""
 
 
-def _is_bad(tag: str, attributes: str, in_article: bool) -> bool:
+def _badness(tag: str, attributes: str, in_article: bool) -> int:
+    """BAD, DOUBTFUL or 0, by the element's tag and attributes."""
     if tag in BAD_TAGS or tag == "header" and not in_article:
-        return True
+        return BAD
     if not attributes or tag in ("html", "body"):
-        return False
+        return 0
+    worst = 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "role" and value in BAD_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and tag not in ARTICLE and any(w in BAD_WORDS for w in re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return BAD
+        if name in ("class", "id") and tag not in ARTICLE:
+            own = set(re.split(r"[^a-z]+", value))
+            if own & BAD_WORDS:
+                return BAD
+            worst = max(worst, DOUBTFUL * bool(own & DOUBTFUL_WORDS))
+    return worst
+
+
+def _end_of_raw(page: str, tag: str, at: int) -> int:
+    """Where the element ends whose start tag ends at ``at``, with those of its kind inside it; the page's end if it isn't closed."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}\b[^>]*?(/?)>", re.IGNORECASE).finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif tag in NESTED and not m[2]:
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(page)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks with their text; raw sections left out."""
     blocks: list[Block] = []
     #: Open elements: tag, whether bad, section, whether in the article.
-    stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
+    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
     parts: list[str] = []
     linked = in_link = sections = at = 0
     heading = False
@@ -113,10 +140,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in RAW:
             if not closing and not attributes.rstrip().endswith("/"):
                 flush()
-                end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
-                if tag == "head" and end is None:
-                    end = re.compile(r"(?=<body\b)", re.IGNORECASE).search(page, at)
-                at = end.end() if end else len(page)
+                at = _end_of_raw(page, tag, at)
             continue
         if tag in BLOCK:
             flush()
@@ -141,35 +165,46 @@ def blocks_of(page: str) -> list[Block]:
                     if stack[k][0] in BLOCK:
                         break
             _, bad, section, article = stack[-1]
-            own = _is_bad(tag, attributes, article)
+            own = max(bad, _badness(tag, attributes, article))
             inner = article or tag in ARTICLE
-            if own and not bad or inner != article:
+            if own != bad or inner != article:
                 sections += 1
                 section = sections
-            stack.append((tag, bad or own, section, inner))
+            stack.append((tag, own, section, inner))
         heading = any(t[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for t in stack[-4:])
     flush()
     return blocks
 
 
+def _first_pass(b: Block, stop: float) -> str:
+    if b.bad == BAD or b.linked > LINKS * len(b.text) and not (b.article and b.linked < len(b.text)):
+        return "bad"
+    if len(b.text) < SHORT or b.heading:
+        return "short"
+    return "good" if stop >= STOP_HIGH and (len(b.text) > LONG or b.article) else "near"
+
+
 def classify(blocks: list[Block]) -> None:
     """Gives every block its label: good or bad."""
-    has_article = any(b.article and not b.bad for b in blocks)
+    stops = []
     for b in blocks:
         words = WORD.findall(b.text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.bad or has_article and not b.article or b.linked > LINKS * len(b.text) and not (b.article and b.linked < len(b.text)):
+        stops.append(sum(w in STOP_WORDS for w in words) / max(1, len(words)))
+        b.label = _first_pass(b, stops[-1])
+    # Text that may be the article's, in article or main and elsewhere; doubtful sections only where there is no other.
+    inside, outside = (sum(len(b.text) for b in blocks if b.label in ("good", "near") and b.article == x and not b.bad) for x in (True, False))
+    doubtful = inside + outside == 0
+    chosen = any(b.article and b.label != "bad" for b in blocks) and inside >= outside
+    for b, stop in zip(blocks, stops, strict=True):
+        dense = b.label == "good" or b.article and b.label == "near" and stop >= STOP_HIGH
+        if chosen and not b.article or b.bad == DOUBTFUL and not doubtful and not (b.article and dense):
             b.label = "bad"
-        elif len(b.text) < SHORT or b.heading:
-            b.label = "short"
-        elif stop >= STOP_HIGH:
-            b.label = "good" if len(b.text) > LONG or b.article else "near"
-        else:
-            b.label = "near"
     if not any(b.label == "good" for b in blocks):
-        # No known language, or no prose: length alone decides, and the links that made blocks bad above.
+        # No known language, or no prose: length alone decides, and the links that made blocks bad above; short blocks
+        # only on a page of nothing else.
+        best = "near" if any(b.label == "near" for b in blocks) else "short"
         for b in blocks:
-            if b.label == "near":
+            if b.label == best:
                 b.label = "good"
     by_section: dict[int, list[int]] = {}
     for k, b in enumerate(blocks):
