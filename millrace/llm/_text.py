@@ -8,6 +8,7 @@ temporary arrays of a task are bounded by the longest single text and not by the
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,10 +96,17 @@ def fresh(name: str, columns: list[str]) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints and written tables that driver and executors share."""
+    """The folder for checkpoints and written tables that driver and executors share: spark.checkpoint.dir.
+
+    Only where everything runs in one process is there a folder of its own if that isn't set.
+    """
     sc = spark.sparkContext
     if not (folder := sc.getCheckpointDir()):
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="millrace-")
         sc.setCheckpointDir(folder)
     return folder
 
@@ -107,3 +115,10 @@ def cut(frame: DataFrame) -> DataFrame:
     """The rows, written once to the shared checkpoint folder: later reads neither recompute nor depend on an executor."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """The same as a compressed Parquet table, of which later reads take only the columns that they need."""
+    at = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(at)
+    return frame.sparkSession.read.schema(frame.schema).parquet(at)
