@@ -6,12 +6,17 @@ then ordered topologically: turn by turn, a result after its call, a call after
 (strings "$id" or "${id}"); among messages that are free to go, the lowest turn goes first.  Arguments are validated
 against the JSON schemas given (type, required, properties, enum, items, additionalProperties, minimum, maximum, pattern),
 and a conversation is serialised as canonical JSON: sorted keys, no white space, no escapes but the necessary ones.
+
+JSON that has no canonical form is malformed here: NaN, infinities and numbers beyond a double, and nesting deeper than
+``DEPTH``.  Lone surrogates, which UTF-8 can't carry, become U+FFFD.  Everything is linear in a conversation's messages but
+for sorting; one conversation is one row of the result, so it must fit a task.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
 import re
 
 import pyarrow as pa
@@ -24,8 +29,13 @@ TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool,
 CALLS = "struct<tool_calls: array<struct<id: string, name: string, arguments: string>>>"
 
 
+#: Most levels of arrays and objects in a message's JSON.
+DEPTH = 100
+SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return SURROGATE.sub("\ufffd", json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
 
 
 def problems(value, schema: dict, at: str = "$") -> list[str]:
@@ -57,11 +67,29 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
     return wrong
 
 
+def _refuse(text: str):
+    raise ValueError(f"{text} is no JSON number")
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    return value if math.isfinite(value) else _refuse(text)
+
+
 def _json(text: str | None):
+    """The value of a JSON text; None if it is malformed, not finite or too deep."""
+    if not text:
+        return None
     try:
-        return json.loads(text) if text else None
-    except ValueError:
+        value = json.loads(text, parse_float=_finite, parse_constant=_refuse)
+    except (ValueError, RecursionError):
         return None
+    level, depth = [value], 0
+    while level := [y for x in level if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]:
+        depth += 1
+        if depth > DEPTH:
+            return None
+    return value
 
 
 def _named(value) -> set[str]:
@@ -110,29 +138,32 @@ def assemble(messages: list[dict], linked: dict[str, bool], schemas: dict[str, d
 
 
 def _order(nodes, call_at, result_at) -> list[int]:
-    """Kahn's order, the lowest number first; what stands in a cycle keeps its turn."""
-    after: dict[int, set[int]] = {k: set() for k in range(len(nodes))}
+    """Kahn's order, the lowest number first; of messages that wait for each other, the lowest goes first."""
+    waits, followers = [0] * len(nodes), [[] for _ in nodes]
     for k, (node, needs) in enumerate(nodes):
+        before = {result_at[i] for i in needs if i in result_at}
         if node["role"] == "tool" and node.get("tool_call_id") in call_at:
-            after[k].add(call_at[node["tool_call_id"]])
-        after[k] |= {result_at[i] for i in needs if i in result_at}
-    # A message that isn't a result follows the one before it, unless that one waits for something later.
-    waits = {k: {j for j in own if j != k} for k, own in after.items()}
-    ready, order, done = [k for k in waits if not waits[k]], [], set()
-    heapq.heapify(ready)
+            before.add(call_at[node["tool_call_id"]])
+        before.discard(k)
+        waits[k] = len(before)
+        for j in before:
+            followers[j].append(k)
+    ready, order, done, lowest = [k for k, n in enumerate(waits) if not n], [], [False] * len(nodes), 0
     while len(order) < len(nodes):
-        if not ready:
-            heapq.heappush(ready, min(k for k in waits if k not in done))
-        k = heapq.heappop(ready)
-        if k in done:
+        if ready:
+            k = heapq.heappop(ready)
+        else:
+            while done[lowest]:
+                lowest += 1
+            k = lowest
+        if done[k]:
             continue
         order.append(k)
-        done.add(k)
-        for j in waits:
-            if j not in done and k in waits[j]:
-                waits[j].discard(k)
-                if not waits[j]:
-                    heapq.heappush(ready, j)
+        done[k] = True
+        for j in followers[k]:
+            waits[j] -= 1
+            if not waits[j] and not done[j]:
+                heapq.heappush(ready, j)
     return order
 
 
@@ -144,7 +175,7 @@ def format_conversations(conversations: DataFrame, schemas: dict[str, dict] | No
 
     Rows of a null conversation id form one conversation with a null id.  A null text is an empty message; null turns go
     last; ties are ordered by role, then text; repeated rows are repeated messages.  A call or result without its partner
-    is kept and marked.  Malformed JSON is ordinary text.  Without schemas every object is valid; with schemas a tool
+    is kept and marked.  Malformed JSON (see above) is ordinary text, and as a call's arguments invalid.  Without schemas every object is valid; with schemas a tool
     that has none is invalid.  An empty table gives no row; other columns are not read.
     """
     m = conversations.select(F.col(f"`{id_column}`").cast("long").alias("conv_id"), F.col(f"`{turn_column}`").cast("long").alias("turn"), as_text(role_column).alias("role"), as_text(text_column).alias("text"))
@@ -170,11 +201,38 @@ def format_conversations(conversations: DataFrame, schemas: dict[str, dict] | No
     return rows.mapInArrow(run, SCHEMA)
 
 
+#: The tool of ``measured``: arguments of more characters than that are invalid.
+MOST_CHARS = 1200
+SCHEMAS = {"measure": {"type": "object", "required": ["chars"], "additionalProperties": False, "properties": {"chars": {"type": "integer", "minimum": 1, "maximum": MOST_CHARS}}}}
+
+
+def measured(conversations: DataFrame) -> DataFrame:
+    """The conversations with a tool call in every assistant message and its result logged before it.
+
+    The call's identifier is made of the turn, its arguments hold the message's length; the result stands one step too early,
+    and there is none for messages without text.
+    """
+    text, turn = F.coalesce("text", F.lit("")), F.col("turn").cast("long")
+    call = F.struct(F.concat(F.lit("call_"), turn.cast("string")).alias("id"), F.lit("measure").alias("name"), F.struct(F.length(text).alias("chars")).alias("arguments"))
+    body = F.when(F.col("role") == "assistant", F.to_json(F.struct(text.alias("content"), F.array(call).alias("tool_calls")))).otherwise(F.col("text"))
+    spoken = conversations.select("conv_id", (turn * 2 + F.when(F.col("role") == "assistant", 1).otherwise(0)).alias("turn"), "role", body.alias("text"))
+    result = F.to_json(F.struct(F.length(text).cast("string").alias("content"), F.concat(F.lit("call_"), turn.cast("string")).alias("tool_call_id")))
+    results = conversations.filter((F.col("role") == "assistant") & (text != "")).select("conv_id", (turn * 2).alias("turn"), F.lit("tool").alias("role"), result.alias("text"))
+    return spoken.unionByName(results)
+
+
 def oracle() -> str:
-    """For conversations without tools: canonical JSON is a concatenation."""
-    return """
-select conv_id, count(*) as n_messages, cast(0 as bigint) as n_calls, cast(0 as bigint) as n_results, cast(0 as bigint) as n_linked,
-  cast(0 as bigint) as n_orphans, cast(0 as bigint) as n_invalid,
-  '{"messages":[' || string_agg('{"content":' || cast(to_json(coalesce(text, '')) as varchar) || ',"role":' || cast(to_json(role) as varchar) || '}', ',' order by turn, role, text) || ']}' as json
-from conversations group by conv_id
+    """For ``measured`` conversations: every result goes after its call, so the order is by turn, the call first."""
+    return f"""
+with own as (select conv_id, turn, role, coalesce(text, '') as content, length(coalesce(text, '')) as chars, role = 'assistant' as called from conversations),
+spoken as (select conv_id, turn, 0 as step, role, content, chars, called, false as result, called and (chars < 1 or chars > {MOST_CHARS}) as invalid, called and chars > 0 as linked,
+  case when called then '{{"content":' || cast(to_json(content) as varchar) || ',"role":"assistant","tool_calls":[{{"arguments":{{"chars":' || chars || '}},"id":"call_' || turn || '","linked":' || (chars > 0)::varchar || ',"name":"measure","valid":' || (chars between 1 and {MOST_CHARS})::varchar || '}}]}}'
+       else '{{"content":' || cast(to_json(content) as varchar) || ',"role":' || cast(to_json(role) as varchar) || '}}' end as json from own),
+results as (select conv_id, turn, 1 as step, 'tool' as role, content, chars, false as called, true as result, false as invalid, false as linked,
+  '{{"content":"' || chars || '","linked":true,"role":"tool","tool_call_id":"call_' || turn || '"}}' as json from own where called and chars > 0),
+messages as (select * from spoken union all select * from results)
+select conv_id, count(*) as n_messages, cast(count(*) filter (called) as bigint) as n_calls, cast(count(*) filter (result) as bigint) as n_results, cast(count(*) filter (linked) as bigint) as n_linked,
+  cast(count(*) filter (called and not linked) as bigint) as n_orphans, cast(count(*) filter (invalid) as bigint) as n_invalid,
+  '{{"messages":[' || string_agg(json, ',' order by turn, step, role, content) || ']}}' as json
+from messages group by conv_id
 """

@@ -46,7 +46,8 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_conversations(_table(spark, sf_dir, "conversations"))
+    """The table has no tools of its own: each assistant message calls one that measures it, and gets a result."""
+    return chat.format_conversations(chat.measured(_table(spark, sf_dir, "conversations")), chat.SCHEMAS)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
