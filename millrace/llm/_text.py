@@ -78,6 +78,36 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, list[byte
         first = stop
 
 
+#: Keys held by a task before they go to Spark.
+HELD = 1_000_000
+
+
+class Tally:
+    """Counts of 64-bit keys, merged as they come."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        if counts is None:
+            keys, counts = np.unique(keys, return_counts=True)
+        self.parts.append((keys, counts))
+        self.held += len(keys)
+
+    def full(self) -> bool:
+        """Whether it is still large after merging; then it has to be taken."""
+        if self.held > HELD:
+            self.add(*self.take())
+        return self.held > HELD // 2
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = (np.concatenate([p[i] for p in self.parts]) if self.parts else np.zeros(0, np.int64) for i in (0, 1))
+        self.parts, self.held = [], 0
+        own, at = np.unique(keys, return_inverse=True)
+        return own, np.bincount(at, counts, len(own)).astype(np.int64)
+
+
 def as_text(column: str) -> F.Column:
     return F.col(f"`{column}`").cast("string")
 
