@@ -152,3 +152,17 @@ def written(frame: DataFrame) -> DataFrame:
     at = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(at)
     return frame.sparkSession.read.schema(frame.schema).parquet(at)
+
+
+#: A key is hot if it has more than one in HOT_SHARE of all rows; so there are at most HOT_SHARE of them.
+HOT_SHARE = 1000
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of values: one row a key, with the number ``n`` of the rows that have it.
+
+    Hot keys, at most HOT_SHARE, are broadcast, so that no task gets all rows of one; all others are joined by shuffle.
+    """
+    hot = F.col("n") * HOT_SHARE > total
+    sent = F.broadcast(values.filter(hot).drop("n"))
+    return rows.join(sent, key).unionByName(rows.join(F.broadcast(values.filter(hot).select(key)), key, "left_anti").join(values.filter(~hot).drop("n"), key))

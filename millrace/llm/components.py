@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from ._text import cut
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links (a long, b long) -> (id long, component long): the least id reachable, for every id in a link.
 
-    Alternating large-star and small-star rounds, each one shuffle by id; the number of rounds grows with the logarithm
-    of the size of the largest component.  A hub is no hot task: a round needs only the least neighbour of each id, which
-    is aggregated before the shuffle, and the join that spreads it is one that Spark can split.
+    Alternating large-star and small-star rounds, each one shuffle by id, until a round changes nothing; their number grows
+    with the logarithm of the size of the largest component.  A hub is no hot task: a round needs only the least neighbour of
+    each id, which is aggregated before the shuffle, and the join that spreads it is one that Spark can split.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    for _ in range(most_rounds):
+    while True:
         # Large star: every larger neighbour is linked to the least of the neighbourhood.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m"))

@@ -1,25 +1,26 @@
 """SimHash near-duplicates through pivot distance tables.
 
-Fingerprints within ``BITS`` differing bits have Hamming distances to any reference fingerprint (pivot) that differ by at
-most ``BITS``.  The table of a fingerprint holds two kinds of such distances:
+The table holds, for each different fingerprint, its Hamming distances to reference fingerprints (pivots).  It is computed once
+and goes with the fingerprint wherever candidates are compared.  Fingerprints within ``BITS`` differing bits have
+distances to any pivot that differ by at most ``BITS``.  There are two kinds of pivots:
 
-* To masked pivots.  The 64 bits are cut into B blocks; the distances to 0, and to a pivot for each bit of a block, give
-  that block's bits.  BITS differing bits touch at most BITS blocks, so two linked fingerprints have coordinates equal
-  (difference 0) in at least B - BITS blocks: they meet under one of the C(B, BITS) keys made of B - BITS blocks.  B
-  grows with the number of fingerprints, so that a key stays about as selective as there are fingerprints.
-* To ``PIVOTS`` random pivots.  Of the pairs that meet under a key, those whose greatest coordinate difference exceeds
-  BITS are discarded.
+* Masked ones, for buckets.  The 64 bits are cut into B blocks; the distances to 0, and to a pivot for each bit of a block,
+  give that block's bits.  BITS differing bits touch at most BITS blocks, so two linked fingerprints have coordinates equal
+  (difference 0) in at least B - BITS blocks: they meet in one of the C(B, BITS) buckets made of B - BITS blocks.  B
+  grows with the number of fingerprints, so that a bucket stays about as selective as there are fingerprints.
+* ``PIVOTS`` random ones, for discarding.  Of the pairs that meet in a bucket, those whose greatest coordinate difference
+  exceeds BITS are discarded; ``discards`` says how many.
 
 Survivors are verified by their exact distance.  Equal fingerprints are one class from the start, so copies make no
-pairs; within a key only links that join two components are emitted, so a large group of near copies makes at most as
-many links as it has fingerprints.  A key with more than ``HOT`` fingerprints is dealt out in pairs of blocks of HOT.
+pairs; within a bucket only links that join two components are emitted, so a large group of near copies makes at most as
+many links as it has fingerprints.  A bucket with more than ``HOT`` fingerprints is dealt out in pairs of parts of HOT.
 
 ``similar`` links by the Jaccard similarity of the sets of five-word shingles instead (0.8 or more), for which 4 of 64
 bits are too few: fingerprints of ``WIDE`` bits meet under keys of sampled bits (distances to pivots masked to one bit),
-as many keys as find a pair at the threshold with probability ``RECALL``.  Survivors are verified: those of few differing
-bits stand, all others are compared by their whole shingle sets, a few of each fingerprint at first.  Only links that stand
-or are verified make groups; the other pairs between groups that are still apart are verified in further rounds, until
-none is left.
+as many keys as find a pair at the threshold with probability ``RECALL``.  Pairs that may be similar by their fingerprints put
+texts into clusters, of which only as many pairs are emitted as hold a cluster together.  Then all pairs within a cluster whose
+fingerprints allow it are verified by their whole shingle sets, in the task that has the cluster (or a pair of its parts),
+and only verified pairs are links.  Random pivots discard nothing at this width and threshold and are left out there.
 """
 
 from __future__ import annotations
@@ -32,17 +33,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LOWER, as_text, chunks, cut, fresh, mix
+from ._text import LOWER, as_text, chunks, cut, fresh, mix, spread_join
 from .components import components
 
-SHINGLE, BITS, PIVOTS, HOT, SEED = 4, 4, 16, 4096, 42
+SHINGLE, BITS, PIVOTS, HOT, SEED = 4, 4, 12, 4096, 42
 #: For ``similar``: words of a shingle, bits of a fingerprint, least chance that a pair at the threshold meets under a key,
-#: binary logarithm of the unrelated fingerprints that share a key, fingerprints in a block of a hot key, and the most
+#: binary logarithm of the unrelated fingerprints that share a key, fingerprints in a part of a hot key, and the most
 #: hot keys that are broadcast (16 bytes each; more are joined).
 WORDS, WIDE, RECALL, LOAD, WIDE_HOT, MOST_SENT = 5, 256, 0.995, 7, 2048, 100_000
-#: Pairs to verify that a fingerprint gets under a key in the first round, and how many times more in each round after it.
-FEW, MORE = 2, 8
+#: Fingerprints, and bytes of shingle sets, in a part of a cluster that is verified; bits that are set side by side for it.
+CLUSTER, CLUSTER_BYTES, TABLE_BYTES = 1024, 32 << 20, 64 << 20
+#: Classes of which no document has an id get numbers from here on; so ids have to be smaller.
+NAMELESS = 1 << 62
 PIVOT_TABLE = np.random.default_rng(20240).integers(0, 1 << 64, PIVOTS, np.uint64, endpoint=False)
+#: Bits of a coordinate in the packed table, and the distance that is 0: distances beyond are cut off, which makes differences smaller only.
+COORDINATE, NEAREST = 5, 16
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -103,82 +108,144 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def link_blocks(keys: np.ndarray, fps: np.ndarray, sides: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Links of fingerprints in the same run of equal keys, at most one less than there are fingerprints in a run's components.
+def pivot_table(fps: np.ndarray) -> np.ndarray:
+    """The coordinates of each fingerprint, packed."""
+    packed = np.zeros(len(fps), np.int64)
+    for k, pivot in enumerate(PIVOT_TABLE):
+        packed |= np.clip(np.bitwise_count(fps ^ pivot).astype(np.int64) - NEAREST, 0, (1 << COORDINATE) - 1) << COORDINATE * k
+    return packed
+
+
+def near_by_pivots(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
+    """Whether no coordinate differs by more than ``bits``."""
+    ok = np.ones(len(x), bool)
+    mask = (1 << COORDINATE) - 1
+    for k in range(PIVOTS):
+        ok &= np.abs((x >> COORDINATE * k & mask) - (y >> COORDINATE * k & mask)) <= bits
+    return ok
+
+
+class Union:
+    """Disjoint sets of rows; labels() has the least row of each."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def root(self, x: int) -> int:
+        p = self.parent
+        while p[x] != x:
+            p[x] = p[p[x]]
+            x = p[x]
+        return int(x)
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+    def labels(self) -> np.ndarray:
+        while not np.array_equal(flat := self.parent[self.parent], self.parent):
+            self.parent = flat
+        return self.parent
+
+
+def link_blocks(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, sides: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of fingerprints in the same run of equal keys, at most one less than there are fingerprints in a run's components;
+    and how many pairs were met, discarded by pivots, and verified to be links.
 
     sides: 0 pairs with all, 1 and 2 with each other only.
     """
     n = len(keys)
-    table = np.bitwise_count(fps[:, None] ^ PIVOT_TABLE[None, :]).astype(np.int8)
-    label = np.arange(n)
-    a_out, b_out = [], []
+    sets, links_ = Union(n), []
+    met = discarded = verified_ = 0
     active, lag = np.arange(n - 1), 1
     while True:
         active = active[active + lag < n]
         active = active[keys[active] == keys[active + lag]]
         if not len(active):
             break
-        i, j = active, active + lag
-        new = (label[i] != label[j]) & ((sides[i] == 0) | (sides[i] != sides[j]))
-        i, j = i[new], j[new]
-        for p in range(PIVOTS):
-            near = np.abs(table[i, p] - table[j, p]) <= bits
-            i, j = i[near], j[near]
-        near = np.bitwise_count(fps[i] ^ fps[j]) <= bits
-        for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
-            while label[x] != x:
-                label[x] = label[label[x]]
-                x = label[x]
-            while label[y] != y:
-                label[y] = label[label[y]]
-                y = label[y]
-            if x != y:
-                label[max(x, y)] = min(x, y)
-                a_out.append(x)
-                b_out.append(y)
-        if len(i):
-            while not np.array_equal(flat := label[label], label):
-                label = flat
+        label = sets.labels()
+        i = active[(label[active] != label[active + lag]) & ((sides[active] == 0) | (sides[active] != sides[active + lag]))]
+        met += len(i)
+        i = i[near_by_pivots(table[i], table[i + lag], bits)]
+        discarded -= len(i)
+        i = i[np.bitwise_count(fps[i] ^ fps[i + lag]) <= bits]
+        verified_ += len(i)
+        links_ += [(x, x + lag) for x in i.tolist() if sets.join(x, x + lag)]
         lag += 1
-    return fps[a_out], fps[b_out]
+    a, b = np.array(links_, np.int64).reshape(-1, 2).T
+    return fps[a], fps[b], np.array([met, met + discarded, verified_])
 
 
-def _link_run(batches):
-    """Rows come sorted by key; the last run of a batch waits for the next one."""
+def _runs(batches):
+    """Batches of whole runs of equal keys (the first column) from sorted ones: the last run of a batch waits for the next."""
     held: list[pa.RecordBatch] = []
-
-    def emit(batch) -> pa.RecordBatch:
-        k, f, s = (c.to_numpy() for c in batch.columns)
-        a, b = link_blocks(k, f.view(np.uint64), s)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = batch.column(0).to_numpy()
         cut_at = int(np.searchsorted(keys, keys[-1]))
         if cut_at:
-            yield emit(pa.Table.from_batches([*held, batch.slice(0, cut_at)]).combine_chunks())
+            yield pa.Table.from_batches([*held, batch.slice(0, cut_at)]).combine_chunks()
             held = []
         held.append(batch.slice(cut_at))
     if held:
-        yield emit(pa.Table.from_batches(held).combine_chunks())
+        yield pa.Table.from_batches(held).combine_chunks()
+
 
+def _link_run(counting: bool):
+    def run(batches):
+        for own in _runs(batches):
+            k, f, t, s = (c.to_numpy() for c in own.columns)
+            a, b, n = link_blocks(k, f.view(np.uint64), t, s)
+            columns = [pa.array([int(x)]) for x in n] if counting else [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["met", "discarded", "linked"] if counting else ["a", "b"])
 
-def links(distinct: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
-    """(a long, b long): links between different fingerprints (column fp) that join all that are within ``bits``."""
-    n = distinct.count()
+    return run
+
+
+def with_table(distinct: DataFrame) -> DataFrame:
+    """(fp, pivots): the packed pivot distances of fingerprints."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pivot_table(batch.column(0).to_numpy().view(np.uint64)))], ["fp", "pivots"])
+
+    return distinct.select("fp").mapInArrow(run, "fp long, pivots long")
+
+
+def _buckets(table: DataFrame, bits: int, hot: int) -> DataFrame:
+    """(key, fp, pivots, side), dealt by key and sorted."""
+    n = table.count()
     masks = block_masks(blocks_for(n, bits), bits)
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("mask", "part")).select(F.xxhash64("mask", "part").alias("key"), "fp")
+    keyed = table.select("fp", "pivots", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("mask", "part")).select(F.xxhash64("mask", "part").alias("key"), "fp", "pivots")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = keyed.join(sizes.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "fp", F.ceil(F.col("n") / hot).alias("parts"))
+    met = keyed.join(sizes.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "fp", "pivots", F.ceil(F.col("n") / hot).alias("parts"))
     # A key of more than ``hot`` fingerprints: part p of them meets parts p.. in keys of their own.
     part = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    others = F.expr("transform(sequence(0L, parts - 1), q -> named_struct('lo', least(p, q), 'hi', greatest(p, q), 'side', if(p = q, 0, if(p < q, 1, 2))))")
-    plain = met.filter("parts = 1").select("key", "fp", F.lit(0).alias("side"))
-    dealt = met.filter("parts > 1").withColumn("p", part).select("key", "fp", F.explode(others).alias("o")).select(F.xxhash64("key", "o.lo", "o.hi").alias("key"), "fp", F.col("o.side").alias("side"))
-    rows = plain.union(dealt)
-    return rows.repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInArrow(_link_run, "a long, b long")
+    plain = met.filter("parts = 1").select("key", "fp", "pivots", F.lit(0).alias("side"))
+    dealt = met.filter("parts > 1").withColumn("p", part).select("key", "fp", "pivots", F.explode(F.expr(OTHERS)).alias("o")).select(F.xxhash64("key", "o.lo", "o.hi").alias("key"), "fp", "pivots", F.col("o.side").alias("side"))
+    return plain.union(dealt).repartition(F.col("key")).sortWithinPartitions("key", "fp")
+
+
+#: Pairs of parts that part p of ``parts`` belongs to, and on which side.
+OTHERS = "transform(sequence(0L, parts - 1), q -> named_struct('lo', least(p, q), 'hi', greatest(p, q), 'side', if(p = q, 0, if(p < q, 1, 2))))"
+
+
+def links(table: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
+    """(a long, b long): links between different fingerprints (fp, pivots) that join all that are within ``bits``."""
+    return _buckets(table, bits, hot).mapInArrow(_link_run(False), "a long, b long")
+
+
+def discards(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, bits: int = BITS) -> dict[str, int]:
+    """How many pairs met in buckets, how many of them the pivots discarded, and how many were verified to be links."""
+    table = cut(with_table(fingerprint(documents, id_column, text_column, size).select("fp").distinct()))
+    row = _buckets(table, bits, HOT).mapInArrow(_link_run(True), "met long, discarded long, linked long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("met", "discarded", "linked")]).collect()[0]
+    return row.asDict()
+
+
+def _named(component) -> F.Column:
+    return F.when(component < NAMELESS, component)
 
 
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -187,16 +254,18 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     component_id is the least doc_id of all documents that are linked to it over any number of links of at most ``bits``
     differing bits, itself included.  A null, empty or wordless text has fingerprint zero, linked like any other; a null
     id gets the least id of its component, if that has one.  Repeated rows give a row each; an empty table gives none;
-    other columns are not read.
+    other columns are not read.  Ids have to be smaller than 2**62.
     """
     prints = cut(fingerprint(documents, id_column, text_column, size))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = components(links(classes.select("fp"), bits))
-    classes = classes.join(joined, F.col("fp") == F.col("id"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    classes = cut(classes)
-    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = classes.join(least, "component").select(F.col("fp").alias("f"), "component_id")
-    return prints.join(ids, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.shiftrightunsigned("fp", 3))
+    classes = cut(prints.groupBy("fp").agg(least.alias("node"), F.count("*").alias("n")))
+    found = cut(links(cut(with_table(classes)), bits))
+    # Links are between classes' least ids, so that a component's number is its least id, and no join is by component.
+    side = lambda c: classes.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}"))
+    joined = components(found.join(side("a"), "a").join(side("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    ids = cut(classes.join(joined, F.col("node") == F.col("id"), "left").select("fp", "n", _named(F.coalesce("component", "node")).alias("component_id")))
+    total = ids.agg(F.sum("n")).collect()[0][0] or 0
+    return spread_join(prints, ids, "fp", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: bytes, size: int = WORDS) -> np.ndarray:
@@ -210,19 +279,20 @@ def wide_fingerprint(shingles: np.ndarray) -> bytes:
 
 
 def wide_prints(documents: DataFrame, id_column: str, text_column: str, size: int = WORDS, sets: bool = False) -> DataFrame:
-    """One row per row: doc_id, wide; with the whole shingle set too if asked for."""
+    """One row per row: doc_id, the hash of the text, wide; with the whole shingle set too if asked for."""
 
     def run(batches):
         for batch in batches:
-            for at, part in chunks(batch.column(1)):
+            for at, part in chunks(batch.column(2)):
                 own = [shingle_set(text, size) for text in part]
-                columns = [batch.column(0).slice(at, len(part)), pa.array([wide_fingerprint(x) for x in own], pa.binary())]
+                columns = [*(batch.column(k).slice(at, len(part)) for k in (0, 1)), pa.array([wide_fingerprint(x) for x in own], pa.binary())]
                 if sets:
-                    columns.append(pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "wide", "shingles"][: len(columns)])
+                    columns.append(pa.array([x.view(np.uint8).tobytes() for x in own], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "wide", "shingles"][: len(columns)])
 
-    schema = "doc_id long, wide binary" + (", shingles array<long>" if sets else "")
-    return documents.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), as_text(text_column).alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, text_hash long, wide binary" + (", shingles binary" if sets else "")
+    text = as_text(text_column)
+    return documents.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, schema)
 
 
 def differing(similarity: float) -> float:
@@ -230,14 +300,10 @@ def differing(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def limits(similarity: float) -> tuple[int, int]:
-    """(most differing bits of a pair that stands unverified, most of a pair that is worth verifying).
-
-    Of those at the threshold 0.6 % lie below the first and 0.6 % above the second.
-    """
+def limit(similarity: float) -> int:
+    """Most differing bits of a pair that is worth verifying: of those at the threshold 0.1 % lie above."""
     p = differing(similarity)
-    spread = 2.5 * np.sqrt(WIDE * p * (1 - p))
-    return int(WIDE * p - spread), int(np.ceil(WIDE * p + spread))
+    return int(np.ceil(WIDE * p + 3.1 * np.sqrt(WIDE * p * (1 - p))))
 
 
 def sampled_bits(n: int, similarity: float) -> np.ndarray:
@@ -249,147 +315,138 @@ def sampled_bits(n: int, similarity: float) -> np.ndarray:
 
 
 def sampled_keys(bits: np.ndarray, with_prints: bool):
-    """Keys of the fingerprints in column wide; each with its fingerprint if asked for."""
+    """Keys of the fingerprints (node, wide); each with node and fingerprint if asked for."""
     weights = np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = batch.column(0).cast(pa.binary())
-            own = np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1)
+            wide = batch.column(1).cast(pa.binary())
+            own = np.unpackbits(np.frombuffer(b"".join(wide.to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1)
             for t, at in enumerate(bits):
-                key = mix(mix(own[:, at].astype(np.uint64) @ weights) + np.uint64(t + 1)).view(np.int64)
-                columns = [pa.array(key), column] if with_prints else [pa.array(key)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "wide"][: len(columns)])
+                key = pa.array(mix(mix(own[:, at].astype(np.uint64) @ weights) + np.uint64(t + 1)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([key, batch.column(0), wide] if with_prints else [key], ["key", "node", "wide"][: 3 if with_prints else 1])
 
     return run
 
 
-def _close(keys: np.ndarray, prints: np.ndarray, sides: np.ndarray, sure: int, most: int, groups: np.ndarray | None, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, whether it stands; rows that are left with pairs to verify), of pairs in the same run of equal keys.
+def _prints(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.cast(pa.binary()).to_pylist()), np.uint64).reshape(-1, WIDE // 64)
 
-    Without groups, pairs within ``sure`` bits stand and make them; those that join two are returned.  Then each row gets
-    its first ``few`` pairs within ``most`` bits to rows of other groups; rows of further ones are left.
-    """
+
+def close_pairs(keys: np.ndarray, prints: np.ndarray, sides: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): pairs in the same run of equal keys within ``most`` differing bits, as many as hold together what they connect."""
     n = len(keys)
-    ahead, found, lag = np.arange(n - 1), [], 1
+    sets, out = Union(n), []
+    ahead, lag = np.arange(n - 1), 1
     while True:
         ahead = ahead[ahead + lag < n]
         ahead = ahead[keys[ahead] == keys[ahead + lag]]
         if not len(ahead):
             break
         own = ahead[(sides[ahead] == 0) | (sides[ahead] != sides[ahead + lag])]
-        if groups is not None:
-            own = own[groups[own] != groups[own + lag]]
-        d = np.bitwise_count(prints[own] ^ prints[own + lag]).sum(1, dtype=np.int32)
-        near = d <= most
-        found.append((own[near], own[near] + lag, d[near]))
+        own = own[np.bitwise_count(prints[own] ^ prints[own + lag]).sum(1, dtype=np.int32) <= most]
+        out += [(x, x + lag) for x in own.tolist() if sets.join(x, x + lag)]
         lag += 1
-    none = np.zeros(0, np.int64)
-    if not found:
-        return none, none, np.zeros(0, bool), none
-    i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
-    take = []
-    if groups is None:
-        label = list(range(n))
-
-        def root(x: int) -> int:
-            while label[x] != x:
-                label[x] = label[label[x]]
-                x = label[x]
-            return x
-
-        at = np.flatnonzero(d <= sure)
-        for p, a, b in zip(at.tolist(), i[at].tolist(), j[at].tolist(), strict=True):
-            x, y = root(a), root(b)
-            if x != y:
-                label[max(x, y)] = min(x, y)
-                take.append(p)
-        groups = np.array([root(x) for x in range(n)])
-    stand = np.array(take, np.int64)
-    at = np.flatnonzero(groups[i] != groups[j])
-    at = at[np.argsort(i[at], kind="stable")]
-    begins = np.diff(i[at], prepend=-1) != 0
-    place = np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-    left = at[place >= few]
-    take = np.concatenate([stand, at[place < few]])
-    return i[take], j[take], np.arange(len(take)) < len(stand), np.unique(np.concatenate([i[left], j[left]]))
-
-
-def close_pairs(keys: np.ndarray, prints: np.ndarray, sides: np.ndarray, sure: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, whether it stands): the first round's pairs in the same run of equal keys within ``most`` differing bits."""
-    return _close(keys, prints, sides, sure, most, None, FEW)[:3]
-
-
-def _close_run(sure: int, most: int, grouped: bool, few: int):
-    """Rows come sorted by key; the last run of a batch waits for the next one."""
-
-    def emit(batch) -> pa.RecordBatch:
-        wide = batch.column(1).cast(pa.binary()).to_pylist()
-        prints = np.frombuffer(b"".join(wide), np.uint64).reshape(-1, WIDE // 64)
-        groups = batch.column(3).to_numpy() if grouped else None
-        keys = batch.column(0).to_numpy()
-        i, j, stands, left = _close(keys, prints, batch.column(2).to_numpy(), sure, most, groups, few)
-        a, b = ([wide[k] for k in x.tolist()] for x in (i, j))
-        # Those left under a key are one bunch, named by its first.
-        _, first, bunch = np.unique(keys[left], return_index=True, return_inverse=True)
-        a += [wide[k] for k in left.tolist()]
-        b += [wide[k] for k in left[first][bunch].tolist()]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([*stands.tolist(), *[None] * len(left)], pa.bool_())], ["a", "b", "stands"])
+    i, j = np.array(out, np.int64).reshape(-1, 2).T
+    return i, j
 
+
+def _close_run(most: int):
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy()
-            cut_at = int(np.searchsorted(keys, keys[-1]))
-            if cut_at:
-                yield emit(pa.Table.from_batches([*held, batch.slice(0, cut_at)]).combine_chunks())
-                held = []
-            held.append(batch.slice(cut_at))
-        if held:
-            yield emit(pa.Table.from_batches(held).combine_chunks())
+        for own in _runs(batches):
+            node = own.column(1).to_numpy()
+            i, j = close_pairs(own.column(0).to_numpy(), _prints(own.column(2).combine_chunks()), own.column(3).to_numpy(), most)
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
 
     return run
 
 
-def close_links(distinct: DataFrame, n: int, similarity: float, hot: int = WIDE_HOT, *, few: int = FEW) -> DataFrame:
-    """(a, b binary, stands boolean): pairs of fingerprints in column wide that may be this similar; where stands is null,
-    a has more of them than ``few`` under a key, all with fingerprints of the bunch b.
-
-    n is the number of all different fingerprints.  With a column group, only pairs of different groups.
-    """
+def close_links(classes: DataFrame, n: int, similarity: float, hot: int = WIDE_HOT) -> DataFrame:
+    """(a, b long): nodes of n classes (node, wide) that may be this similar, as many as hold clusters together."""
     bits = sampled_bits(n, similarity)
-    grouped = "group" in distinct.columns
-    own = distinct.select("wide")
+    own = classes.select("node", "wide")
     sizes = cut(own.mapInArrow(sampled_keys(bits, False), "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select(F.col("key").alias("k"), F.ceil(F.col("n") / hot).alias("parts")))
     if sizes.count() <= MOST_SENT:
         sizes = F.broadcast(sizes)
-    keyed = own.mapInArrow(sampled_keys(bits, True), "key long, wide binary").join(sizes, F.col("key") == F.col("k"), "left")
+    keyed = own.mapInArrow(sampled_keys(bits, True), "key long, node long, wide binary").join(sizes, F.col("key") == F.col("k"), "left")
     # A key of more than ``hot`` fingerprints: part p of them meets parts p.. in keys of their own.
-    keyed = keyed.select("key", "wide", F.coalesce("parts", F.lit(1)).alias("parts")).withColumn("p", F.pmod(F.xxhash64("wide"), F.col("parts")))
-    others = F.expr("transform(sequence(0L, parts - 1), q -> named_struct('lo', least(p, q), 'hi', greatest(p, q), 'side', if(p = q, 0, if(p < q, 1, 2))))")
+    keyed = keyed.select("key", "node", "wide", F.coalesce("parts", F.lit(1)).alias("parts")).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")))
     plain = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).alias("side")))
-    rows = keyed.select("key", "wide", F.explode(F.when(F.col("parts") > 1, others).otherwise(plain)).alias("o"))
-    rows = rows.select(F.xxhash64("key", "o.lo", "o.hi").alias("key"), "wide", F.col("o.side").alias("side"))
-    if grouped:
-        rows = rows.join(distinct.select("wide", "group"), "wide").select("key", "wide", "side", "group")
-    return rows.repartition(F.col("key")).sortWithinPartitions("key", F.xxhash64("key", "wide")).mapInArrow(_close_run(*limits(similarity), grouped, few), "a binary, b binary, stands boolean")
-
-
-def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, id_column: str, text_column: str, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose whole shingle sets are this similar."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("wide")).distinct()
-    # Whole shingle sets of those that need them: one row of each class, found through its least id.
-    chosen = fresh("_least", documents.columns)
-    wanted = classes.join(ends, "wide", "left_semi").select(F.col("least").alias(chosen)).distinct()
-    rows = documents.join(wanted, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(chosen)), "left_semi")
-    sets = cut(wide_prints(rows, id_column, text_column, size, sets=True).join(ends, "wide", "left_semi").groupBy("wide").agg(F.first("shingles").alias("shingles")))
-    side = lambda name: sets.select(F.col("wide").alias(name), F.col("shingles").alias(f"s{name}"))
-    both, shared = F.size("sa") + F.size("sb"), F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(shared * (1 + similarity) >= both * similarity - 1e-9).select("a", "b")
+    rows = keyed.select("key", "node", "wide", F.explode(F.when(F.col("parts") > 1, F.expr(OTHERS)).otherwise(plain)).alias("o"))
+    rows = rows.select(F.xxhash64("key", "o.lo", "o.hi").alias("key"), "node", "wide", F.col("o.side").alias("side"))
+    return rows.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(_close_run(limit(similarity)), "a long, b long")
+
+
+def verified_pairs(prints: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, similarity: float, most: int) -> list[tuple[int, int]]:
+    """Pairs within ``most`` bits whose shingle sets are this similar, as many as hold together what they connect."""
+    n, union, out = len(sets), Union(len(sets)), []
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True) if n else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    # Only shingles of two sets or more can be shared; each is a bit of its sets' rows.
+    number = np.cumsum(count > 1) - 1
+    shared = count[of] > 1
+    width = -(-int((count > 1).sum()) // 64)
+    table = None
+    if n * width * 8 <= TABLE_BYTES:
+        table = np.zeros((n, max(width, 1)), np.uint64)
+        bit = number[of[shared]]
+        np.bitwise_or.at(table, (owner[shared], bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    for i in range(n - 1):
+        label = union.labels() if i % 64 == 0 else union.parent
+        j = np.arange(i + 1, n)
+        j = j[(label[j] != label[i]) & ((sides[i] == 0) | (sides[j] != sides[i]))]
+        # A smaller set can't hold enough of a larger one.
+        j = j[np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i]) - 1e-9]
+        j = j[np.bitwise_count(prints[j] ^ prints[i]).sum(1, dtype=np.int32) <= most]
+        if not len(j):
+            continue
+        if table is not None:
+            both = np.bitwise_count(table[j] & table[i]).sum(1, dtype=np.int64)
+        else:
+            both = np.array([len(np.intersect1d(sets[i], sets[k], assume_unique=True)) for k in j.tolist()])
+        same = both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9
+        out += [(i, k) for k in j[same].tolist() if union.join(i, k)]
+    return out
+
+
+def _verify_run(similarity: float, most: int):
+    def run(batches):
+        for own in _runs(batches):
+            keys, node, sides = (own.column(k).to_numpy() for k in (0, 1, 3))
+            prints = _prints(own.column(2).combine_chunks())
+            a, b = [], []
+            for start, stop in zip(*_edges(keys), strict=True):
+                sets = [np.frombuffer(x, np.uint64) for x in own.column(4).slice(start, stop - start).to_pylist()]
+                for i, j in verified_pairs(prints[start:stop], sets, sides[start:stop], similarity, most):
+                    a.append(node[start + i])
+                    b.append(node[start + j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _edges(keys: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where runs of equal keys begin and end."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist()
+    return starts, [*starts[1:], len(keys)]
+
+
+def verified(documents: DataFrame, classes: DataFrame, clusters: DataFrame, id_column: str, text_column: str, size: int, similarity: float) -> DataFrame:
+    """(a, b long): nodes of the same cluster (id, component) whose whole shingle sets are this similar."""
+    chosen, their = fresh("_least", documents.columns), fresh("_hash", documents.columns)
+    members = cut(classes.join(clusters, F.col("node") == F.col("id")).select("node", "wide", F.col("first.doc_id").alias(chosen), F.col("first.text_hash").alias(their), F.col("component").alias("cluster")))
+    # One document of each class has its text read again.
+    wanted = members.select(chosen, their)
+    rows = documents.join(wanted, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(chosen)) & (F.xxhash64(as_text(text_column)) == F.col(their)), "left_semi")
+    sets = wide_prints(rows, id_column, text_column, size, sets=True).groupBy("wide").agg(F.first("shingles").alias("shingles"))
+    own = cut(members.join(sets, "wide").select("cluster", "node", "wide", "shingles"))
+    parts = own.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / CLUSTER, F.sum(F.octet_length("shingles")) / CLUSTER_BYTES)).alias("parts"))
+    dealt = own.join(parts, "cluster").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts"))).select("cluster", "node", "wide", "shingles", F.explode(F.expr(OTHERS)).alias("o"))
+    dealt = dealt.select(F.xxhash64("cluster", "o.lo", "o.hi").alias("key"), "node", "wide", F.col("o.side").alias("side"), "shingles")
+    return dealt.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(_verify_run(similarity, limit(similarity)), "a long, b long")
 
 
 def similar(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, similarity: float = 0.8) -> DataFrame:
@@ -397,36 +454,18 @@ def similar(documents: DataFrame, id_column: str = "doc_id", text_column: str =
 
     component_id is the least doc_id of the documents linked over any number of links.  Texts of equal wide fingerprints
     are one class.  Null, empty and wordless texts are one class too; a null id gets the least id of its component, if
-    that has one.  Repeated rows give a row each; an empty table gives none; other columns are not read.
+    that has one.  Repeated rows give a row each; an empty table gives none; other columns are not read.  Ids have to be smaller
+    than 2**62.
     """
     prints = cut(wide_prints(documents, id_column, text_column, size))
-    classes = cut(prints.groupBy("wide").agg(F.min("doc_id").alias("least")))
-    n, few, open_, linked, tried = classes.count(), FEW, classes.select("wide"), None, None
-    while True:
-        found = close_links(open_, n, similarity, few=few)
-        low, high = (F.when(F.col("stands").isNull(), F.col(plain)).otherwise(f("a", "b")) for plain, f in (("a", F.least), ("b", F.greatest)))
-        found = cut(found.select(low.alias("a"), high.alias("b"), "stands").distinct())
-        doubtful = found.filter("not stands").select("a", "b")
-        if tried is not None:
-            doubtful = cut(doubtful.join(tried, ["a", "b"], "left_anti"))
-        same = verified(documents, classes, doubtful, id_column, text_column, size, similarity)
-        new = found.filter("stands").select("a", "b").union(same).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
-        linked = cut(new if linked is None else linked.union(new))
-        tried = doubtful if tried is None else cut(tried.union(doubtful))
-        joined = components(linked)
-        # Bunches that are of more than one group still are searched again, with more pairs for each fingerprint.
-        more = found.filter("stands is null").select(F.col("a").alias("wide"), F.col("b").alias("bunch")).withColumn("fp", F.xxhash64("wide"))
-        more = cut(more.join(joined, F.col("fp") == F.col("id"), "left").select("wide", "bunch", F.coalesce("component", "fp").alias("group")))
-        apart = more.groupBy("bunch").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y").select("bunch")
-        open_ = cut(more.join(apart, "bunch", "left_semi").select("wide", "group").distinct())
-        if open_.isEmpty():
-            break
-        few *= MORE
-    classes = classes.withColumn("fp", F.xxhash64("wide"))
-    classes = cut(classes.join(joined, F.col("fp") == F.col("id"), "left").select("wide", "least", F.coalesce("component", "fp").alias("component")))
-    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = classes.join(least, "component").select(F.col("wide").alias("w"), "component_id")
-    return prints.join(ids, F.col("wide") == F.col("w")).select("doc_id", "component_id")
+    classes = prints.groupBy("wide").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("first"), F.count("*").alias("n"))
+    node = F.coalesce("first.doc_id", F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("wide"), 3))
+    classes = cut(classes.select("wide", "first", "n", node.alias("node")))
+    clusters = components(cut(close_links(classes, classes.count(), similarity)))
+    joined = components(cut(verified(documents, classes, clusters, id_column, text_column, size, similarity)))
+    ids = cut(classes.join(joined, F.col("node") == F.col("id"), "left").select("wide", "n", _named(F.coalesce("component", "node")).alias("component_id")))
+    total = ids.agg(F.sum("n")).collect()[0][0] or 0
+    return spread_join(prints.select("doc_id", "wide"), ids, "wide", total).select("doc_id", "component_id")
 
 
 def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, similarity: float = 0.8) -> DataFrame:
