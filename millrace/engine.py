@@ -20,7 +20,7 @@ class Engine:
     def __init__(self, spark: SparkSession, windows: str = "whole", own_session: bool = True):
         self.spark = dialect_session(spark) if own_session else spark
         self.windows = windows
-        self.catalog = Catalog(self.spark)
+        self.catalog = Catalog(self.spark, self.translated)
         self.functions = Functions(self.spark)
 
     def register(self, folder: str, tables: list[str]) -> Engine:
@@ -44,10 +44,18 @@ class Engine:
         return self.script(Path(path).read_text())
 
     def translated(self, text: str) -> str:
-        return dialect.translate(text, dialect.Mode(self._columns(text), self.windows))
+        """Spark SQL of a query; where it divides, Spark is asked for the types first."""
+        mode = dialect.Mode(self.windows)
+        out = dialect.translate(text, mode)
+        if not mode.quotients:
+            return out
+        probe = dialect.translate(text, dialect.Mode(self.windows, probe=True))
+        kinds = dialect.kinds_in(self.spark.sql(f"EXPLAIN EXTENDED {probe}").collect()[0][0])
+        return dialect.translate(text, dialect.Mode(self.windows, kinds))
 
     def explain(self, text: str, mode: str = "formatted") -> str:
-        return self.sql(text)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+        """mode: formatted, extended, cost or codegen."""
+        return self.spark.sql(f"EXPLAIN {mode.upper()} {self.translated(text.strip().rstrip(';'))}").collect()[0][0]
 
     def sql(self, text: str) -> DataFrame:
         text = text.strip().rstrip(";")
@@ -77,29 +85,3 @@ class Engine:
             rows = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
         rows.write.insertInto(table, overwrite=overwrite)
         return self.spark.createDataFrame([(table,)], "table string")
-
-    def _columns(self, text: str) -> dict[str, str]:
-        """Types of the columns of all tables that the text names; what two tables type differently is left out."""
-        found: dict[str, set[str]] = {}
-        for name in _relations(dialect.lex(text)):
-            if re.match(r"\w+$", name) and self.spark.catalog.tableExists(name):
-                for c, kind in self.spark.table(name).dtypes:
-                    found.setdefault(c.lower(), set()).add(kind)
-        return {c: next(iter(k)) for c, k in found.items() if len(k) == 1}
-
-
-def _relations(tokens: list[str]) -> set[str]:
-    """Names that stand where a relation is expected: after FROM and JOIN, and after a comma of a FROM list."""
-    names, clause, expected = set(), "", False
-    for t in tokens:
-        low = t.lower()
-        if low in ("from", "join"):
-            clause, expected = low, True
-        elif low in ("select", "where", "group", "order", "having", "limit", "on", "window"):
-            clause, expected = low, False
-        elif t == "," and clause == "from":
-            expected = True
-        elif expected:
-            names.add(t.strip('`"'))
-            expected = False
-    return names

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,8 +15,9 @@ class Catalog:
     """Databases and tables are Spark's. Indexes and tablespaces are names kept here: Parquet and ORC statistics serve as
     indexes, a tablespace is a place under which tables are put."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, translate: Callable[[str], str]):
+        """translate: the dialect's queries into Spark SQL, with the types of what they divide."""
+        self.spark, self.translate = spark, translate
         self.indexes: dict[str, tuple[str, str]] = {}
         self.tablespaces: dict[str, str] = {}
         self.variables: dict[str, str] = {}
@@ -61,8 +63,6 @@ class Catalog:
         return self._said(name)
 
     def _create_table(self, external, quiet, name, rest):
-        from .dialect import translate
-
         name = name.replace('"', "`")
         tokens, at, columns, free = lex(rest), 0, [], False
         if tokens[:1] == ["("]:
@@ -88,7 +88,7 @@ class Catalog:
             elif low == "tablespace":
                 location, at = f"{self.tablespaces[tokens[at + 1]]}/{name.strip('`')}", at + 2
             elif low == "as":
-                query, at = translate(" ".join(tokens[at + 1 :])), len(tokens)
+                query, at = self.translate(" ".join(tokens[at + 1 :])), len(tokens)
             else:
                 raise ValueError(f"CREATE TABLE: {tokens[at]} isn't understood")
         form, own = sources.spark_format(kind, options)
@@ -193,6 +193,4 @@ class Catalog:
         for name in named:
             rows, schema = views[name]
             s.createDataFrame(rows, schema).createOrReplaceTempView(f"information_schema_{name}")
-        from .dialect import translate
-
-        return s.sql(translate(re.sub(r"(?i)information_schema\s*\.\s*", "information_schema_", text)))
+        return s.sql(self.translate(re.sub(r"(?i)information_schema\s*\.\s*", "information_schema_", text)))

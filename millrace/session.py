@@ -19,6 +19,7 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.debug.maxToStringFields": "2000",
 }
 
 
@@ -35,7 +36,7 @@ def session(app: str = "millrace", master: str | None = None, **more: str) -> Sp
 def dialect_session(spark: SparkSession) -> SparkSession:
     """A session of the same application with the dialect's settings; the given one keeps its own."""
     own = spark.newSession()
-    for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.sources.partitionOverwriteMode"):
+    for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.sources.partitionOverwriteMode", "spark.sql.debug.maxToStringFields"):
         own.conf.set(k, SETTINGS[k])
     return own
 
