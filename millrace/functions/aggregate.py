@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .registry import define
+
+define("collect", "collect_list({0})", 1)
+define("fusion", "flatten(collect_list({0}))", 1)
+define("intersection", "aggregate(collect_list({0}), collect_list({0})[0], (a, x) -> array_intersect(a, x))", 1)
+
 
 def sum_distinct(column: str) -> Column:
     """0, not NULL, if all values are NULL."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STRATEGIES = {"broadcast": "broadcast", "hash": "shuffle_hash", "merge": "merge", "auto": None}
@@ -62,19 +64,31 @@ def band(left: DataFrame, right: DataFrame, value: str, low: str, high: str, wid
     return left.join(keyed, on, how).drop("_cell")
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, right_time: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, right_time: str, values: list[str], bucket: float | None = None) -> DataFrame:
     """Each left row with the values of the last right row of the same key at or before its time.
 
-    One union and one window: a single shuffle by key, no pairs.
+    One union and one window: a single shuffle by key, no pairs.  With a bucket (seconds of a timestamp, or units of a
+    number) the window is by key and bucket, so that a key with very many rows is dealt out by time; what the buckets before
+    leave is one row a key and bucket, carried on by a second window and joined.
     """
-    keys = [F.col(c) for c in by]
     a = left.select(*left.columns, F.col(time).alias("_t"), F.lit(1).alias("_side"), *[F.lit(None).cast(right.schema[v].dataType).alias(f"_{v}") for v in values])
     b = right.select(*[(F.col(c) if c in by else F.lit(None).cast(left.schema[c].dataType)).alias(c) for c in left.columns], F.col(right_time).alias("_t"), F.lit(0).alias("_side"), *[F.col(v).alias(f"_{v}") for v in values])
-    from pyspark.sql import Window
-
+    rows = a.unionByName(b)
+    own = F.struct(*[F.col(f"_{v}") for v in values])
+    keys = list(by)
+    if bucket:
+        kind = left.schema[time].dataType.typeName()
+        clock = F.unix_micros(F.col("_t").cast("timestamp")) / 1e6 if kind.startswith("timestamp") else F.col("_t").cast("double")
+        rows, keys = rows.withColumn("_bucket", F.floor(clock / bucket)), [*by, "_bucket"]
     w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("_side") == 0, F.struct(*[F.col(f"_{v}") for v in values])), ignorenulls=True).over(w)
-    return a.unionByName(b).withColumn("_last", last).filter("_side = 1").select(*left.columns, *[F.col(f"_last._{v}").alias(v) for v in values])
+    found = rows.withColumn("_last", F.last(F.when(F.col("_side") == 0, own), ignorenulls=True).over(w)).filter("_side = 1")
+    if bucket:
+        lasts = rows.groupBy(*keys).agg(F.max_by(F.when(F.col("_side") == 0, own), F.when(F.col("_side") == 0, F.col("_t"))).alias("_own"))
+        before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = lasts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.last("_own", ignorenulls=True).over(before).alias("_carried"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        found = found.join(carried, reduce(lambda x, y: x & y, same), "left").withColumn("_last", F.coalesce("_last", "_carried"))
+    return found.select(*left.columns, *[F.col(f"_last._{v}").alias(v) for v in values])
 
 
 def salted(left: DataFrame, right: DataFrame, keys: list[str], parts: int = 32, how: str = "inner") -> DataFrame:
@@ -84,6 +98,7 @@ def salted(left: DataFrame, right: DataFrame, keys: list[str], parts: int = 32,
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"{how} can't be salted")
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in left.columns]), F.lit(parts)).cast("int"))
+    # By place, not by value: equal rows are dealt out too.
+    a = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int"))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return a.join(b, [*keys, "_salt"], how).drop("_salt")

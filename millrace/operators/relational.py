@@ -13,7 +13,7 @@ def grouped(frame: DataFrame, keys: list[str], *aggregates: Column, having: Colu
 
 def hot_grouped(frame: DataFrame, keys: list[str], partial: dict[str, tuple[str, str]], parts: int = 32) -> DataFrame:
     """Aggregates that can't be combined before the shuffle, in two steps by salt. partial: name -> (min, max or sum; column)."""
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in frame.columns]), F.lit(parts))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(parts))
     first = frame.withColumn("_salt", salt).groupBy(*keys, "_salt").agg(*[getattr(F, f)(c).alias(n) for n, (f, c) in partial.items()])
     return first.groupBy(*keys).agg(*[getattr(F, f)(n).alias(n) for n, (f, _) in partial.items()])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +12,12 @@ from pyspark.sql import functions as F
 from .plans.dialect import _type, lex
 
 
+#: Ranges of addresses that are sent to the executors: 24 bytes and a code each.
+COUNTRY_RANGES = 1_000_000
+#: Keys that a task of two_phase holds before it hands their partial results on.
+HELD = 100_000
+
+
 def output_type(kind: str) -> Callable:
     """Marks a function or an aggregate class with its result type; BLOB without it."""
 
@@ -43,7 +50,7 @@ class Functions:
     def aggregate(self, name: str, handler: type, kind: str | None = None) -> None:
         """A class with eval(*values), get_partial_result(), merge(partial), get_final_result(), for SQL.
 
-        Registered as a grouped pandas function, which sees a group in one task; for large groups use two_phase().
+        SQL sees a grouped pandas function, which has a group in one task; for groups that don't fit one use two_phase().
         """
 
         def run(*columns: pd.Series):
@@ -52,16 +59,38 @@ class Functions:
                 own.eval(*values)
             return own.get_final_result()
 
-        # pandas_udf tells the kind of function by its annotations, which can't name any number of columns.
-        source = {n: F.pandas_udf(_with_arity(run, n), _kind(handler, kind)) for n in (getattr(handler, "arity", 1),)}
-        self.spark.udf.register(name, next(iter(source.values())))
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # a function of any number of columns has no annotations that say what it is
+            self.spark.udf.register(name, F.pandas_udf(run, _kind(handler, kind), F.PandasUDFType.GROUPED_AGG))
+
+    def countries(self, ranges: DataFrame) -> None:
+        """geoip_country_code(address) and geoip_in_country(address, code), of IPv4 texts or numbers.
+
+        ranges: (first long, last long, code string), not overlapping.  They are sent to the executors, so there may be no more
+        than COUNTRY_RANGES; for more use functions.net.with_country, which joins.
+        """
+        rows = ranges.select("first", "last", "code").orderBy("first").limit(COUNTRY_RANGES + 1).toPandas()
+        if len(rows) > COUNTRY_RANGES:
+            raise ValueError(f"more than {COUNTRY_RANGES} ranges")
+        first, last, codes = rows["first"].to_numpy("int64"), rows["last"].to_numpy("int64"), rows["code"].to_numpy(object)
 
+        def number(address) -> int:
+            if isinstance(address, str):
+                parts = address.split(".")
+                ok = len(parts) == 4 and all(p.isdigit() and int(p) < 256 for p in parts)
+                return int.from_bytes(bytes(map(int, parts)), "big") if ok else -1
+            return -1 if address is None or address != address else int(address) & 0xFFFFFFFF
 
-def _with_arity(run: Callable, n: int) -> Callable:
-    names = [f"a{k}" for k in range(n)]
-    scope: dict = {"run": run, "pd": pd}
-    exec(f"def f({', '.join(f'{x}: pd.Series' for x in names)}) -> float:\n    return run({', '.join(names)})", scope)
-    return scope["f"]
+        def code_of(addresses: pd.Series) -> pd.Series:
+            n = addresses.map(number).to_numpy("int64")
+            at = first.searchsorted(n, "right") - 1
+            return pd.Series([codes[k] if k >= 0 and x <= last[k] else None for k, x in zip(at.tolist(), n.tolist(), strict=True)], dtype=object)
+
+        def in_country(addresses: pd.Series, code: pd.Series) -> pd.Series:
+            return code_of(addresses).eq(code.reset_index(drop=True))
+
+        self.spark.udf.register("geoip_country_code", F.pandas_udf(code_of, "string"))
+        self.spark.udf.register("geoip_in_country", F.pandas_udf(in_country, "boolean"))
 
 
 def two_phase(frame: DataFrame, keys: list[str], columns: list[str], handler: type, to: str, kind: str) -> DataFrame:
@@ -78,14 +107,21 @@ def two_phase(frame: DataFrame, keys: list[str], columns: list[str], handler: ty
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[tuple, object] = {}
+
+        def taken() -> pa.RecordBatch:
+            arrays = [pa.array([k[i] for k in own], batch_types[i]) for i in range(n)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([pickle.dumps(x.get_partial_result()) for x in own.values()], pa.binary())], [*keys, "_partial"])
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 key = row[:n]
                 if key not in own:
                     own[key] = handler()
                 own[key].eval(*row[n:])
-        arrays = [pa.array([k[i] for k in own], batch_types[i]) for i in range(n)]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array([pickle.dumps(x.get_partial_result()) for x in own.values()], pa.binary())], [*keys, "_partial"])
+            if len(own) > HELD:
+                yield taken()
+                own = {}
+        yield taken()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
