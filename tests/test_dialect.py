@@ -16,7 +16,8 @@ def engine(spark):
     [
         ("left('abcdef', -2)", "abcd"), ("left('ab', -9)", ""), ("right('abcdef', -2)", "cdef"), ("substr('abcdef', 0, 3)", "ab"), ("substr('abcdef', -1, 3)", "a"), ("substr('abcdef', 5, 9)", "ef"),
         ("locate('abc', '')", 1), ("locate('abc', 'b', -1)", 0), ("locate('abcb', 'b', 3)", 4), ("locate('abc', '', 9)", 0), ("split_part('a|b', '|', 2)", "b"), ("split_part('a|b', '|', 9)", None), ("concat('a', null, 'b')", "ab"),
-        ("7 / 2", 3), ("-7 / 2", -3), ("7 / 0", None), ("mod(-7, 3)", -1), ("5 % 0", None), ("round(2.5)", 3), ("round(-2.5)", -3), ("div(7, 0)", None), ("chr(0)", None), ("chr(300)", "Ĭ"), ("to_hex(0)", "00000000"), ("to_hex(-1)", "ffffffff"),
+        ("7 / 2", 3), ("-7 / 2", -3), ("7 / 0", None), ("5 * 3 / 2", 7), ("10 / 3 / 2", 1), ("5 * 3 % 4", 3), ("2 + 7 / 2 * 2", 8), ("20 - 9 / 2", 16), ("7 / 2.0", 3.5), ("100 / (3 + 1) / 2 % 5", 2), ("7 / 2 / 2.0", 1.5), ("'9'::int4 / 2", 4), ("9::int8 / 2", 4), ("9::float8 / 2", 4.5),
+        ("case when true then 9 else 1 end / 2", 4), ("array(7, 9)[1] / 2", 4), ("7 - -9 / 2", 11), ("abs(-9) / 2", 4), ("length('abc') / 2 * 2", 2), ("1.5", 1.5), ("5 = any (select 5)", True), ("5 <> all (select 4)", True), ("mod(-7, 3)", -1), ("5 % 0", None), ("round(2.5)", 3), ("round(-2.5)", -3), ("div(7, 0)", None), ("chr(0)", None), ("chr(300)", "Ĭ"), ("to_hex(0)", "00000000"), ("to_hex(-1)", "ffffffff"),
         ("'xabcx' ~ 'abc'", False), ("'ABC' ~* 'a.c'", True), ("'abc' !~ 'abc'", False), ("'abc' similar to 'a%'", True), ("5 between symmetric 9 and 1", True), ("5 between symmetric 6 and 9", False), ("'42'::int4 + 1", 43),
         ("extract(dow from date '2024-01-07')", 0.0), ("extract(isodow from date '2024-01-07')", 7.0), ("extract(century from date '2000-06-01')", 20.0), ("extract(millennium from date '2001-01-01')", 3.0), ("extract(decade from date '1999-01-01')", 199.0),
         ("extract(timezone from now())", None), ("to_char(add_months(date '2024-01-31', 1), 'YYYY-MM-DD')", "2024-02-29"), ("to_char(to_date('05/03/2020', 'DD/MM/YYYY'), 'YYYYMMDD')", "20200305"),
@@ -42,7 +43,29 @@ def test_windows_cover_the_partition(engine):
 
 
 def test_rank_without_order(engine):
-    assert [r.n for r in engine.sql("select row_number() over (partition by 1) as n from (values (5), (6)) t(x)").collect()] == [1, 2]
+    """All rows of a partition are peers."""
+    rows = engine.sql("select rank() over (partition by x % 2) as r, dense_rank() over () as d, percent_rank() over () as p, cume_dist() over () as c, row_number() over (partition by 1) as n from (values (5), (6), (7)) t(x)").collect()
+    assert [(r.r, r.d, r.p, r.c) for r in rows] == [(1, 1, 0.0, 1.0)] * 3 and sorted(r.n for r in rows) == [1, 2, 3]
+
+
+def test_named_windows_are_inlined(engine):
+    text = "select x, sum(x) over w as s, max(x) over (w) as m, count(*) over v as c, (select max(y) over w from (values (1)) u(y) window w as (order by y)) as i from (values (1), (2), (3)) t(x) window w as (partition by x % 2 order by x), v as (w)"
+    assert sorted((r.x, r.s, r.m, r.c, r.i) for r in engine.sql(text).collect()) == [(1, 4, 3, 2, 1), (2, 2, 2, 1, 1), (3, 4, 3, 2, 1)]
+
+
+def test_division_is_typed_by_the_analyser(engine):
+    text = "with a as (select x / 2 as h, x * 1.0 as f from (values (7), (9)) t(x)) select sum(h) / 2 as s, sum(f) / 2 as g, count(*) / 4 as c, max(h) / 2 as m, avg(h) / 2 as v from a"
+    r = engine.sql(text).collect()[0]
+    assert (r.s, r.g, r.c, r.m, r.v) == (3, 8.0, 0, 2, 1.75) and dict(engine.sql(text).dtypes)["s"] == "bigint"
+    # A column of the same name in another table, an alias, a join: the analyser knows.
+    engine.sql("select 7.0D as q, 1 as k").createOrReplaceTempView("floats")
+    engine.sql("select 7 as q, 1 as k").createOrReplaceTempView("integers")
+    r = engine.sql("select f.q / 2 as a, i.q / 2 as b, f.q as q, count(*) over () / 2 as c from floats f join integers i on f.k = i.k where i.q / 2 = 3 order by i.q / 2").collect()[0]
+    assert (r.a, r.b, r.c) == (3.5, 3, 0)
+
+
+def test_sum_of_no_distinct_values_is_zero(engine):
+    assert engine.sql("select sum(distinct x) as s, sum(distinct x) filter (where x > 5) as f, sum(x) as n from (values (cast(null as int))) t(x)").collect()[0] == (0, 0, None)
 
 
 def test_java_patterns():
@@ -161,3 +184,70 @@ def test_streams_match_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("tumbled").collect())) == sorted(map(tuple, streaming.tumbling(rows, "t", "20 minutes", ["k"], F.count("*").alias("n")).collect()))
+
+
+def test_header_lines_and_tolerance(spark, tmp_path):
+    from millrace import sources
+
+    (tmp_path / "t").mkdir()
+    for f in ("a", "b"):
+        (tmp_path / "t" / f).write_text("k|s\n-|-\n1|one\nx|two\n3|three\n")
+    (tmp_path / "t" / "short").write_text("k|s\n")
+    path, schema = str(tmp_path / "t"), "k int, s string"
+    got = lambda **o: sorted(map(str, (tuple(r) for r in sources.read(spark, path, "text", {k.replace("_", "."): v for k, v in o.items()}, schema).collect())))
+    assert got(text_skip_headerlines="2") == sorted(["(1, 'one')", "(3, 'three')", "(None, 'two')"] * 2)
+    more = {"text.skip.headerlines": "2", "text.error-tolerance.max-num": "2"}
+    assert sorted(r.k for r in sources.read(spark, path, "text", more, schema).collect()) == [1, 1, 3, 3]
+    with pytest.raises(ValueError):
+        sources.read(spark, path, "text", {**more, "text.error-tolerance.max-num": "1"}, schema)
+
+
+def test_country_functions_are_bounded(spark, monkeypatch):
+    from millrace import udf
+
+    e = Engine(spark)
+    ranges = spark.createDataFrame([(10, 20, "A"), (30, 40, "B")], "first long, last long, code string")
+    e.functions.countries(ranges)
+    r = e.sql("select geoip_country_code(x) as c from (values ('0.0.0.15'), ('0.0.0.25'), ('no'), (null)) t(x)").collect()
+    assert [x.c for x in r] == ["A", None, None, None]
+    monkeypatch.setattr(udf, "COUNTRY_RANGES", 1)
+    with pytest.raises(ValueError):
+        e.functions.countries(ranges)
+
+
+def test_two_phase_hands_partial_results_on(spark, monkeypatch):
+    from millrace import udf
+    from millrace.queries import Mean
+
+    rows = spark.range(2000).selectExpr("id % 700 as k", "cast(id as double) as x")
+    want = {r.k: r.m for r in rows.groupBy("k").avg("x").withColumnRenamed("avg(x)", "m").collect()}
+    monkeypatch.setattr(udf, "HELD", 50)
+    assert {r.k: r.m for r in udf.two_phase(rows, ["k"], ["x"], Mean, "m", "double").collect()} == want
+
+
+def test_salt_deals_equal_rows_out(spark):
+    a = spark.range(1000).selectExpr("1 as k", "'same' as x").repartition(4)
+    b = spark.createDataFrame([(1, "one")], "k int, y string")
+    assert joins.salted(a, b, ["k"], 8).count() == 1000
+
+
+@pytest.mark.parametrize("bucket", [None, 10.0, 3.5])
+def test_as_of_with_buckets(spark, bucket):
+    import random
+
+    random.seed(3)
+    left = [(random.randint(0, 3), random.randint(0, 60), i) for i in range(150)]
+    right = {(random.randint(0, 3), random.randint(0, 60)): i for i in range(25)}
+    a = spark.createDataFrame([*left, (None, 5, 900)], "k int, t int, i int")
+    b = spark.createDataFrame([(k, t, v) for (k, t), v in right.items()], "k int, u int, v int")
+    got = {r.i: r.v for r in joins.as_of(a, b, ["k"], "t", "u", ["v"], bucket).collect()}
+    for k, t, i in left:
+        before = [(u, v) for (kk, u), v in right.items() if kk == k and u <= t]
+        assert got[i] == (max(before)[1] if before else None)
+    assert got[900] is None and len(got) == 151
+
+
+def test_order_holds_over_partitions(engine):
+    """The rows come in order, not only the right ones."""
+    rows = [(r.a, r.b) for r in engine.sql("select id % 7 as a, id as b from range(500) order by a desc, b").collect()]
+    assert rows == sorted(rows, key=lambda r: (-r[0], r[1]))
