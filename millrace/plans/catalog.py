@@ -86,7 +86,11 @@ class Catalog:
             elif low == "location":
                 location, at = tokens[at + 1].strip("'"), at + 2
             elif low == "tablespace":
-                location, at = f"{self.tablespaces[tokens[at + 1]]}/{name.strip('`')}", at + 2
+                location, at = self.tablespaces[tokens[at + 1]], at + 2
+                if location.startswith("jdbc:"):  # the table is a table of that database
+                    kind, options, location, free = "jdbc", {"url": location, "dbtable": name.strip("`"), **options}, "", True
+                else:
+                    location = f"{location}/{name.strip('`')}"
             elif low == "as":
                 query, at = self.translate(" ".join(tokens[at + 1 :])), len(tokens)
             else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -33,7 +34,15 @@ def engine(spark: SparkSession, sf_dir: str, windows: str = "whole") -> Engine:
 
 def sql(name: str, text: str, oracle: str | None = None, windows: str = "whole") -> None:
     """A query in the dialect; its oracle is the same text unless one is given."""
-    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, windows).sql(text)
+    named = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir, windows)
+        for t in named:  # files may have changed since they were registered
+            e.spark.catalog.refreshTable(t)
+        return e.sql(text)
+
+    QUERIES[name] = run
     ORACLES[name] = oracle or text
 
 
@@ -408,6 +417,7 @@ sql("literals", "select interval '1' day + timestamp '2024-01-01 10:00:00' as a,
 sql("clock", "select current_date = cast(now() as date) as a, length(current_time) = 8 as b, length(current_time()) = 8 as c, current_timestamp >= timestamp '2024-01-01 00:00:00' as d", "select true as a, true as b, true as c, true as d")
 sql("join_natural_sql", "select * from (select n_nationkey, n_regionkey as k from nation) a natural join (select r_regionkey as k, r_name from region) b", "select n_regionkey as k, n_nationkey, r_name from nation join region on n_regionkey = r_regionkey")
 sql("join_using_sql", "select k, n_nationkey, r_name from (select n_nationkey, nullif(n_regionkey, 2) as k from nation) a left join (select r_regionkey as k, r_name from region) b using (k)")
+sql("join_union_sql", "select r_name, n_nationkey from region union join nation n where n_nationkey is null or n_nationkey < 4", "select r_name, cast(null as int) as n_nationkey from region union all select null, n_nationkey from nation where n_nationkey < 4")
 sql("join_theta_pure", "select a.n_nationkey as x, b.s_suppkey as y from nation a join supplier b on a.n_nationkey * 3 < b.s_nationkey and a.n_regionkey <> b.s_suppkey")
 sql("join_left_theta", "select r_regionkey, n_nationkey from region left join nation on n_nationkey < r_regionkey * r_regionkey - 4")
 sql("agg_grouping_fn", "select l_returnflag, l_linestatus, grouping(l_returnflag) as a, grouping(l_linestatus) as b, count(*) as n from lineitem group by cube (l_returnflag, l_linestatus)", "select l_returnflag, l_linestatus, cast(grouping(l_returnflag) as tinyint) as a, cast(grouping(l_linestatus) as tinyint) as b, count(*) as n from lineitem group by cube (l_returnflag, l_linestatus)")
@@ -565,6 +575,17 @@ def jdbc_roundtrip(spark, sf_dir):
     return spark.createDataFrame(rows.collect(), "n_regionkey int, n bigint")
 
 
+@query("select r_name, count(*) as n from nation join region on n_regionkey = r_regionkey group by r_name")
+def jdbc_tablespace(spark, sf_dir):
+    """A database as a tablespace: its tables join the warehouse's."""
+    name = f"n_{uuid.uuid4().hex}"
+    url = f"jdbc:derby:memory:{name};create=true"
+    table(spark, sf_dir, "nation").coalesce(1).write.format("jdbc").options(url=url, dbtable=name).save()
+    e = Engine(spark).register(sf_dir, ["region"])
+    e.script(f"create tablespace db location '{url.split(';')[0]}'; create external table {name} (*) tablespace db")
+    return spark.createDataFrame(e.sql(f"select r_name, count(*) as n from {name} join region on n_regionkey = r_regionkey group by r_name").collect(), "r_name string, n bigint")
+
+
 @query("select n_nationkey as id, n_name as name, cast(null as double) as v from nation")
 def http_json(spark, sf_dir):
     """A server of this process; on a cluster the address is any that executors reach."""
@@ -615,6 +636,14 @@ def udaf_sql(spark, sf_dir):
     return e.sql("select l_returnflag, round(mean_of(l_quantity), 1 + 5) as m from lineitem group by l_returnflag")
 
 
+@query("select n_nationkey, max(n_nationkey) over (partition by n_regionkey) - min(n_nationkey) over (partition by n_regionkey) as w, avg(n_nationkey) over (partition by n_regionkey) as m from nation")
+def udf_window(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    e.functions.window("spread", lambda x: int(x.max() - x.min()), "int4")
+    e.functions.aggregate("mean_of", Mean)
+    return e.sql("select n_nationkey, spread(n_nationkey) over (partition by n_regionkey) as w, mean_of(n_nationkey) over (partition by n_regionkey) as m from nation")
+
+
 @query("select n_nationkey, n_nationkey * 3 + 1 as a from nation")
 def udf_vectorised(spark, sf_dir):
     e = engine(spark, sf_dir)

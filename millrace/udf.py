@@ -63,6 +63,16 @@ class Functions:
             warnings.simplefilter("ignore")  # a function of any number of columns has no annotations that say what it is
             self.spark.udf.register(name, F.pandas_udf(run, _kind(handler, kind), F.PandasUDFType.GROUPED_AGG))
 
+    def window(self, name: str, f: Callable[..., object], kind: str | None = None) -> None:
+        """For SQL with OVER: f takes the values of the window, a pandas Series for each argument, and returns one value."""
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            self.spark.udf.register(name, F.pandas_udf(f, _kind(f, kind), F.PandasUDFType.GROUPED_AGG))
+
+    def jar(self, name: str, class_name: str, jar: str) -> None:
+        """A Hive function of a jar; needs a session with Hive support."""
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name} AS '{class_name}' USING JAR '{jar}'")
+
     def countries(self, ranges: DataFrame) -> None:
         """geoip_country_code(address) and geoip_in_country(address, code), of IPv4 texts or numbers.
 
