@@ -559,6 +559,22 @@ def text_tolerance(spark, sf_dir):
     return sources.read(spark, at, "text", {"text.error-tolerance.max-num": "-1"}, "k int, s string")
 
 
+@query("select n_nationkey, n_name, nullif(n_regionkey, 3) as k from nation")
+def avro_rows(spark, sf_dir):
+    """Container files in the folder; the connector reads them where it is there, else this library."""
+    from pathlib import Path
+
+    from .sources.avro import container
+
+    at = _place(spark, "avro").removeprefix("file:")
+    schema = {"type": "record", "name": "nation", "fields": [{"name": "n_nationkey", "type": "int"}, {"name": "n_name", "type": "string"}, {"name": "k", "type": ["null", "int"]}]}
+    rows = [r.asDict() for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.expr("nullif(n_regionkey, 3)").alias("k")).collect()]
+    Path(at).mkdir(parents=True)
+    for k in range(2):
+        Path(at, f"{k}.avro").write_bytes(container(rows[k::2], schema, ["null", "deflate"][k], 5))
+    return sources.read(spark, at, "avro")
+
+
 @query("select cast(n_nationkey as varchar) as key, n_name as value from nation")
 def sequence_roundtrip(spark, sf_dir):
     at = _place(spark, "sequence")

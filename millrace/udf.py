@@ -45,7 +45,7 @@ class Functions:
         self.spark.udtf.register(name, F.udtf(handler, returnType=kind))
 
     def java(self, name: str, class_name: str, kind: str | None = None, aggregate: bool = False) -> None:
-        (self.spark.udf.registerJavaUDAF if aggregate else self.spark.udf.registerJavaFunction)(name, class_name, *([] if aggregate or not kind else [kind]))
+        (self.spark.udf.registerJavaUDAF if aggregate else self.spark.udf.registerJavaFunction)(name, class_name, *([] if aggregate or not kind else [_type(lex(kind), 0)[0]]))
 
     def aggregate(self, name: str, handler: type, kind: str | None = None) -> None:
         """A class with eval(*values), get_partial_result(), merge(partial), get_final_result(), for SQL.

@@ -251,3 +251,54 @@ def test_order_holds_over_partitions(engine):
     """The rows come in order, not only the right ones."""
     rows = [(r.a, r.b) for r in engine.sql("select id % 7 as a, id as b from range(500) order by a desc, b").collect()]
     assert rows == sorted(rows, key=lambda r: (-r[0], r[1]))
+
+
+def test_avro_types(spark, tmp_path):
+    import bz2
+    import datetime
+    import lzma
+
+    import pyarrow as pa
+
+    from millrace.sources import avro
+
+    inner = {"type": "record", "name": "inner", "fields": [{"name": "x", "type": ["null", "double"]}]}
+    schema = {"type": "record", "name": "row", "namespace": "a.b", "fields": [
+        {"name": "i", "type": "int"}, {"name": "l", "type": "long"}, {"name": "f", "type": "float"}, {"name": "b", "type": "boolean"}, {"name": "s", "type": ["null", "string"]}, {"name": "y", "type": "bytes"},
+        {"name": "a", "type": {"type": "array", "items": ["null", "long"]}}, {"name": "m", "type": {"type": "map", "values": "int"}}, {"name": "r", "type": inner}, {"name": "q", "type": ["null", inner]},
+        {"name": "d", "type": {"type": "int", "logicalType": "date"}}, {"name": "t", "type": {"type": "long", "logicalType": "timestamp-micros"}},
+    ]}
+    rows = [{"i": -k, "l": k * (1 << 40) * (-1) ** k, "f": k / 2, "b": k % 2 == 0, "s": None if k % 3 else f"é{k}", "y": bytes([k]), "a": [k, None, -k] if k else [], "m": {"p": k} if k else {}, "r": {"x": None}, "q": None if k % 2 else {"x": 1.5}, "d": -k, "t": -k * 1_000_003} for k in range(50)]
+    for codec in ("null", "deflate"):
+        (tmp_path / codec).mkdir()
+        (tmp_path / codec / "x.avro").write_bytes(avro.container(rows, schema, codec, 7))
+        got = sorted(avro.read_avro(spark, str(tmp_path / codec)).collect(), key=lambda r: -r.i)
+        assert [(r.i, r.l, r.f, r.b, r.s, bytes(r.y), r.a, r.m, r.r.x, r.q and r.q.x) for r in got] == [(r["i"], r["l"], r["f"], r["b"], r["s"], r["y"], r["a"], r["m"], None, r["q"] and 1.5) for r in rows]
+        assert got[40].d == datetime.date(1970, 1, 1) - datetime.timedelta(days=40)
+    text = b"some text " * 50
+    assert avro._unpacked(bz2.compress(text), "bzip2") == avro._unpacked(lzma.compress(text), "xz") == avro._unpacked(pa.compress(text, "zstd", asbytes=True), "zstandard") == text
+    assert avro._unpacked(pa.compress(text, "snappy", asbytes=True) + b"sum!", "snappy") == text
+    with pytest.raises(ValueError):
+        avro.header(b"nothing")
+
+
+def test_java_functions(spark, tmp_path):
+    """Compiled here; without a compiler there is nothing to test."""
+    import os
+    import shutil
+    import subprocess
+    import zipfile
+
+    import pyspark
+
+    if not shutil.which("javac") and not os.path.exists("/usr/lib/jvm/default-java/bin/javac"):
+        pytest.skip("no Java compiler")
+    (tmp_path / "TwiceOf.java").write_text("public class TwiceOf implements org.apache.spark.sql.api.java.UDF1<Integer, Integer> { public Integer call(Integer x) { return x == null ? null : 2 * x; } }")
+    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars", "*")
+    subprocess.run([shutil.which("javac") or "/usr/lib/jvm/default-java/bin/javac", "-cp", jars, "-d", str(tmp_path), str(tmp_path / "TwiceOf.java")], check=True, timeout=120)
+    with zipfile.ZipFile(tmp_path / "twice.jar", "w") as z:
+        z.write(tmp_path / "TwiceOf.class", "TwiceOf.class")
+    e = Engine(spark)
+    e.spark.sql(f"ADD JAR '{tmp_path}/twice.jar'")
+    e.functions.java("twice_of", "TwiceOf", "int4")
+    assert [r.y for r in e.sql("select twice_of(x) as y from (values (21), (null)) t(x)").collect()] == [42, None]
