@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -109,10 +110,15 @@ def blocks_of(page: str) -> list[Block]:
     blocks: list[Block] = []
     #: Open elements: tag, whether bad, section, whether in the article.
     stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
+    n_open: Counter[str] = Counter()
     parts: list[str] = []
     linked = in_link = sections = at = 0
     heading = False
 
+    def close(k: int) -> None:
+        n_open.subtract(t[0] for t in stack[k:])
+        del stack[k:]
+
     def flush() -> None:
         nonlocal linked
         text = SPACE.sub(" ", references.unescape("".join(parts))).strip()
@@ -150,9 +156,9 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if n_open[tag] else ():
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html", "section", "div"):
                     break  # a stray end tag doesn't close what it stands in
@@ -160,7 +166,7 @@ def blocks_of(page: str) -> list[Block]:
             if tag in CLOSES_P:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k][0] in BLOCK:
                         break
@@ -171,6 +177,7 @@ def blocks_of(page: str) -> list[Block]:
                 sections += 1
                 section = sections
             stack.append((tag, own, section, inner))
+            n_open[tag] += 1
         heading = any(t[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for t in stack[-4:])
     flush()
     return blocks

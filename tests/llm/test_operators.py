@@ -290,6 +290,7 @@ def test_raw_elements_in_each_other():
 def test_very_long_pages():
     assert html.extract("<div>" * 20_000 + f"<p>{PROSE}</p>") == PROSE
     assert html.extract("<p>" + PROSE * 3000).startswith(PROSE)
+    assert html.extract("<div>" * 20_000 + "</b></i>" * 20_000 + f"<p>{PROSE}</p>") == PROSE
 
 
 # 5
