@@ -41,7 +41,7 @@ SHINGLE, BITS, PIVOTS, HOT, SEED = 4, 4, 12, 4096, 42
 #: binary logarithm of the unrelated fingerprints that share a key, fingerprints in a part of a hot key, and the most
 #: hot keys that are broadcast (16 bytes each; more are joined).
 WORDS, WIDE, RECALL, LOAD, WIDE_HOT, MOST_SENT = 5, 256, 0.995, 7, 2048, 100_000
-#: Fingerprints, and bytes of shingle sets, in a part of a cluster that is verified; bits that are set side by side for it.
+#: Fingerprints, and bytes of their texts, in a part of a cluster that is verified; bytes of shared shingles side by side for it.
 CLUSTER, CLUSTER_BYTES, TABLE_BYTES = 1024, 32 << 20, 64 << 20
 #: Classes of which no document has an id get numbers from here on; so ids have to be smaller.
 NAMELESS = 1 << 62
@@ -97,7 +97,7 @@ def block_masks(blocks: int, bits: int = BITS) -> list[int]:
 
 
 def blocks_for(n: int, bits: int = BITS) -> int:
-    """So many blocks that a key has at least about as many values as there are fingerprints (5 to 32)."""
+    """So many blocks that a key has at least about as many values as there are fingerprints (5 to 8)."""
     blocks = bits + 1
     while blocks < bits + 4 and 64 * (blocks - bits) / blocks < np.log2(max(n, 2)) + 2:
         blocks += 1
@@ -278,21 +278,17 @@ def wide_fingerprint(shingles: np.ndarray) -> bytes:
     return b"".join(majority(lane).to_bytes(8, "big") for lane in lanes)
 
 
-def wide_prints(documents: DataFrame, id_column: str, text_column: str, size: int = WORDS, sets: bool = False) -> DataFrame:
-    """One row per row: doc_id, the hash of the text, wide; with the whole shingle set too if asked for."""
+def wide_prints(documents: DataFrame, id_column: str, text_column: str, size: int = WORDS) -> DataFrame:
+    """One row per row: doc_id, the hash and the bytes of the text, wide."""
 
     def run(batches):
         for batch in batches:
             for at, part in chunks(batch.column(2)):
-                own = [shingle_set(text, size) for text in part]
-                columns = [*(batch.column(k).slice(at, len(part)) for k in (0, 1)), pa.array([wide_fingerprint(x) for x in own], pa.binary())]
-                if sets:
-                    columns.append(pa.array([x.view(np.uint8).tobytes() for x in own], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "wide", "shingles"][: len(columns)])
+                own = [wide_fingerprint(shingle_set(text, size)) for text in part]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(part)) for k in (0, 1)), pa.array([len(t) for t in part], pa.int64()), pa.array(own, pa.binary())], ["doc_id", "text_hash", "bytes", "wide"])
 
-    schema = "doc_id long, text_hash long, wide binary" + (", shingles binary" if sets else "")
     text = as_text(text_column)
-    return documents.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, schema)
+    return documents.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, bytes long, wide binary")
 
 
 def differing(similarity: float) -> float:
@@ -435,18 +431,27 @@ def _edges(keys: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def verified(documents: DataFrame, classes: DataFrame, clusters: DataFrame, id_column: str, text_column: str, size: int, similarity: float) -> DataFrame:
-    """(a, b long): nodes of the same cluster (id, component) whose whole shingle sets are this similar."""
-    chosen, their = fresh("_least", documents.columns), fresh("_hash", documents.columns)
-    members = cut(classes.join(clusters, F.col("node") == F.col("id")).select("node", "wide", F.col("first.doc_id").alias(chosen), F.col("first.text_hash").alias(their), F.col("component").alias("cluster")))
-    # One document of each class has its text read again.
-    wanted = members.select(chosen, their)
-    rows = documents.join(wanted, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(chosen)) & (F.xxhash64(as_text(text_column)) == F.col(their)), "left_semi")
-    sets = wide_prints(rows, id_column, text_column, size, sets=True).groupBy("wide").agg(F.first("shingles").alias("shingles"))
-    own = cut(members.join(sets, "wide").select("cluster", "node", "wide", "shingles"))
-    parts = own.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / CLUSTER, F.sum(F.octet_length("shingles")) / CLUSTER_BYTES)).alias("parts"))
-    dealt = own.join(parts, "cluster").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts"))).select("cluster", "node", "wide", "shingles", F.explode(F.expr(OTHERS)).alias("o"))
+    """(a, b long): nodes of the same cluster (id, component) whose whole shingle sets are this similar.
+
+    One document of each class has its text read again; its set goes to the tasks of its cluster's parts and nowhere else.
+    """
+    members = classes.join(clusters, F.col("node") == F.col("id")).select("node", "wide", "first", F.col("component").alias("cluster"))
+    parts = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / CLUSTER, F.sum("first.bytes") / CLUSTER_BYTES)).alias("parts")).withColumn("parts", F.greatest("parts", F.lit(1)))
+    members = cut(members.join(parts, "cluster").select("cluster", "parts", "node", "wide", "first"))
+    text = as_text(text_column)
+    rows = documents.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    rows = rows.join(members, rows["doc_id"].eqNullSafe(F.col("first.doc_id")) & (rows["text_hash"] == F.col("first.text_hash"))).select("cluster", "parts", "node", "wide", "text")
+
+    def run(batches):
+        for batch in batches:
+            for at, part in chunks(batch.column(4)):
+                sets = [shingle_set(t, size).tobytes() for t in part]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(part)) for k in range(4)), pa.array(sets, pa.binary())], ["cluster", "parts", "node", "wide", "shingles"])
+
+    sets = rows.mapInArrow(run, "cluster long, parts long, node long, wide binary, shingles binary")
+    dealt = sets.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts"))).select("cluster", "node", "wide", "shingles", F.explode(F.expr(OTHERS)).alias("o"))
     dealt = dealt.select(F.xxhash64("cluster", "o.lo", "o.hi").alias("key"), "node", "wide", F.col("o.side").alias("side"), "shingles")
-    return dealt.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(_verify_run(similarity, limit(similarity)), "a long, b long")
+    return dealt.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(_verify_run(similarity, limit(similarity)), "a long, b long").filter("a <> b")
 
 
 def similar(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, similarity: float = 0.8) -> DataFrame:
@@ -458,7 +463,7 @@ def similar(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     than 2**62.
     """
     prints = cut(wide_prints(documents, id_column, text_column, size))
-    classes = prints.groupBy("wide").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("first"), F.count("*").alias("n"))
+    classes = prints.groupBy("wide").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "bytes")).alias("first"), F.count("*").alias("n"))
     node = F.coalesce("first.doc_id", F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("wide"), 3))
     classes = cut(classes.select("wide", "first", "n", node.alias("node")))
     clusters = components(cut(close_links(classes, classes.count(), similarity)))
