@@ -1113,19 +1113,20 @@ def test_pipeline_stages_on_odd_tables(spark, odd, empty, k):
     assert none.count() == 0 and (k == 4 or none.columns == docs.columns)
 
 
-def test_pipeline_against_its_operators(spark, documents):
+def test_pipeline_against_its_operators(spark):
     """The run's rows are those that each stage's operator, tested by brute force above, keeps of what the one before it kept."""
     import corpus_pipeline
 
-    docs = documents
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     judged = {r.doc_id for r in quality.judge(docs).filter("kept").collect()}
     docs = docs.filter(F.col("doc_id").isin(list(judged)))
     docs = linededup.drop_lines(docs)
     _, group = brute_similar([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     docs = docs.filter(F.col("doc_id").isin(sorted(set(group.values()))))
-    dirty = {r.doc_id for r in decontam.find(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).filter("contaminated").collect()}
+    dirty = {r.doc_id for r in decontam.find(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).filter("contaminated").collect()}
     want = sorted(set(group.values()) - dirty)
-    got = sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect())
+    got = sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect())
     assert got == want and dirty
 
 
