@@ -711,7 +711,7 @@ def test_texts_that_occur_twice_are_told_apart(spark):
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.choice([1, 2, 2, 6, 7])))
     texts = [" ".join(word() for _ in range(150)) for _ in range(400)]
     rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, texts[k]) for k in range(0, 400, 8)]
-    got = {r.doc_id: r.gain_per_token for r in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.tail_per_token for r in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     learned = lambda k: zlib.crc32(str(k).encode()) % 7 != 2
     twice = [got[k] for k in range(0, 400, 8) if learned(k) and learned(1000 + k)]
     once = [got[k] for k in range(400) if k % 8]
