@@ -724,6 +724,30 @@ def test_tree_foretells_held_out_texts_better_than_single_words(spark):
     assert np.mean([r.score >= r.base_score for r in rows]) > 0.85
 
 
+def test_tree_writes_only_pairs_that_can_count(spark, monkeypatch):
+    """Of the pairs, those seen less than least_pair times are dropped before they are written."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    least, trees = [], []
+    monkeypatch.setattr(lmscore, "cut", lambda frame, cut=lmscore.cut: least.append(out := cut(frame)) or out)
+    monkeypatch.setattr(lmscore, "fit_tree", lambda *a, fit=lmscore.fit_tree: trees.append(fit(*a)) or trees[-1])
+    want = sorted(map(tuple, lmscore.score(d).collect()))
+    pairs = [f for f in least if f.columns == ["key", "n"]]
+    assert pairs and all(f.agg({"n": "min"}).collect()[0][0] >= trees[0].least_pair for f in pairs if f.count())
+    for side in (1, 3):
+        monkeypatch.setattr(lmscore, "COMMON", side)
+        assert sorted(map(tuple, lmscore.score(d).collect())) == want
+
+
+def test_head_words_by_their_first_bits():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 50, 3000):
+        head = np.unique(np.concatenate([rng.integers(0, 1 << 64, n, np.uint64), rng.integers(0, 9, n, np.uint64), (1 << 64) - 1 - rng.integers(0, 9, n).astype(np.uint64)]))
+        words = lmscore.Words(head, np.full(len(head), 20), 20 * len(head) + 9, len(head), 3)
+        asked = np.concatenate([head, rng.integers(0, 1 << 64, 500, np.uint64), np.array([0, 1, (1 << 64) - 1], np.uint64)])
+        place, hit = words.find(asked)
+        assert hit.tolist() == np.isin(asked, head).tolist() and (head[place[hit]] == asked[hit]).all()
+
+
 def test_tree_grows_with_the_corpus(spark, monkeypatch):
     sizes = []
     monkeypatch.setattr(lmscore, "fit_tree", lambda *a, fit=lmscore.fit_tree: sizes.append(fit(*a)) or sizes[-1])
