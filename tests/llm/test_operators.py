@@ -401,6 +401,16 @@ def test_quality_rejects_junk_that_the_corpus_is_full_of(spark):
     assert np.mean([r.kept for r in bad]) < 0.1
 
 
+@pytest.mark.parametrize("most", [0, 40, 900])
+def test_quality_is_the_same_however_few_trigrams_are_sent(spark, odd, documents, monkeypatch, most):
+    """Those that aren't sent are joined: nothing is left out."""
+    d = documents.unionByName(documents.filter("doc_id % 20 = 0")).unionByName(odd.select(documents.columns))
+    want, kept = sorted(map(str, quality.judge(d).collect())), sorted(map(str, quality.keep(d).collect()))
+    monkeypatch.setattr(quality, "MOST", most)
+    assert sorted(map(str, quality.judge(d).collect())) == want
+    assert sorted(map(str, quality.keep(d).collect())) == kept
+
+
 # 6
 
 
