@@ -528,6 +528,29 @@ def test_decontamination_against_exhaustive_search(spark, n):
     assert len(want) >= 88 and len(want & got) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("n", [1, 2, 10])
+def test_decontamination_with_a_small_part_of_the_texts_in_the_sample(spark, monkeypatch, n):
+    """The basis fitted on some 20 of 600 texts, of which every one is searched: recall against exhaustive search."""
+    random.seed(50 + n)
+    vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(2, 8))) for _ in range(4000)]
+    draw = lambda k: random.choices(vocabulary, k=k)
+    items = [draw(random.randint(15, 40)) for _ in range(n * decontam.RANK)]
+    docs = []
+    for k in range(120):
+        own = [random.choice(vocabulary) if k % 2 and random.random() < 0.2 else w for w in items[k * n]]
+        docs.append(draw(60) + own + draw(60))
+    want = exhaustive(docs, items, 0.7)
+    docs += [draw(150) for _ in range(480)]
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    monkeypatch.setattr(decontam, "SAMPLE", 20)
+    assert 5 <= decontam.sampled(d, 600).count() <= 60
+    got = {(r.doc_id, r.item_id) for r in decontam.find(d, b).collect() if r.contaminated}
+    monkeypatch.setattr(decontam, "SAMPLE", 1_000_000)
+    whole = {(r.doc_id, r.item_id) for r in decontam.find(d, b).collect() if r.contaminated}
+    assert len(want) >= 100 and len(want & got) >= 0.97 * len(want) and len(want & got) >= len(want & whole) - 1
+
+
 def test_decontamination_in_parts(spark, monkeypatch):
     d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     d = d.unionByName(d.limit(5)).unionByName(spark.createDataFrame([(None, None, None, None, None)], d.schema)).withColumns({c: F.lit("clash") for c in ("share", "_none", "n_items", "i", "t")})
