@@ -1187,6 +1187,17 @@ def test_pipeline_against_its_operators(spark):
     assert got == want and dirty
 
 
+def test_pipeline_does_not_depend_on_the_sample(spark, monkeypatch):
+    """The rows are the same with about 20 texts and with all texts in the sample that decontamination's basis is fitted on."""
+    import corpus_pipeline
+
+    got = []
+    for n in (20, 1_000_000):
+        monkeypatch.setattr(decontam, "SAMPLE", n)
+        got.append(sorted(map(str, corpus_pipeline.run(spark, "/root/testdata/sf0.01").collect())))
+    assert got[0] == got[1]
+
+
 def test_pipeline_stages(spark, documents):
     import corpus_pipeline
 
