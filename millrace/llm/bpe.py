@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import as_text, chunks
+from ._text import as_text, chunks, keeps, serving
 
 #: Characters of a text above which it is cut into leaves of so many, and of the first window on each side of a join.
 LEAF, WINDOW = 32768, 64
@@ -205,6 +205,14 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _drop() -> None:
+    _encoder.cache_clear()
+    tokenizer.cache_clear()
+
+
+keeps("bpe", _drop)
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long"
 
 
@@ -217,6 +225,7 @@ def encode_documents(documents: DataFrame, path: str | None = None, id_column: s
     path = path or default_path()
     schema = SCHEMA + (", ids array<int>, decoded string" if with_ids else "")
 
+    @serving("bpe")
     def run(batches):
         coder = _encoder(path)
         for batch in batches:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LOWER, as_text, chunks, cut, fresh, mix, spread_join
+from ._text import LOWER, as_text, chunks, cut, fresh, mix, serving, spread_join
 from .components import components
 
 SHINGLE, BITS, PIVOTS, HOT, SEED = 4, 4, 12, 4096, 42
@@ -81,6 +81,7 @@ def fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
 def fingerprint(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE) -> DataFrame:
     """One row per row: doc_id, fp (the fingerprint as a signed long)."""
 
+    @serving("simhash")
     def run(batches):
         for batch in batches:
             fp = [fingerprints(part, size) for _, part in chunks(batch.column(1))]
@@ -194,6 +195,7 @@ def _runs(batches):
 
 
 def _link_run(counting: bool):
+    @serving("simhash")
     def run(batches):
         for own in _runs(batches):
             k, f, t, s = (c.to_numpy() for c in own.columns)
@@ -207,6 +209,7 @@ def _link_run(counting: bool):
 def with_table(distinct: DataFrame) -> DataFrame:
     """(fp, pivots): the packed pivot distances of fingerprints."""
 
+    @serving("simhash")
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pivot_table(batch.column(0).to_numpy().view(np.uint64)))], ["fp", "pivots"])
@@ -281,6 +284,7 @@ def wide_fingerprint(shingles: np.ndarray) -> bytes:
 def wide_prints(documents: DataFrame, id_column: str, text_column: str, size: int = WORDS) -> DataFrame:
     """One row per row: doc_id, the hash and the bytes of the text, wide."""
 
+    @serving("simhash")
     def run(batches):
         for batch in batches:
             for at, part in chunks(batch.column(2)):
@@ -314,6 +318,7 @@ def sampled_keys(bits: np.ndarray, with_prints: bool):
     """Keys of the fingerprints (node, wide); each with node and fingerprint if asked for."""
     weights = np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64)
 
+    @serving("simhash")
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -350,6 +355,7 @@ def close_pairs(keys: np.ndarray, prints: np.ndarray, sides: np.ndarray, most: i
 
 
 def _close_run(most: int):
+    @serving("simhash")
     def run(batches):
         for own in _runs(batches):
             node = own.column(1).to_numpy()
@@ -409,6 +415,7 @@ def verified_pairs(prints: np.ndarray, sets: list[np.ndarray], sides: np.ndarray
 
 
 def _verify_run(similarity: float, most: int):
+    @serving("simhash")
     def run(batches):
         for own in _runs(batches):
             keys, node, sides = (own.column(k).to_numpy() for k in (0, 1, 3))
@@ -442,6 +449,7 @@ def verified(documents: DataFrame, classes: DataFrame, clusters: DataFrame, id_c
     rows = documents.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     rows = rows.join(members, rows["doc_id"].eqNullSafe(F.col("first.doc_id")) & (rows["text_hash"] == F.col("first.text_hash"))).select("cluster", "parts", "node", "wide", "text")
 
+    @serving("simhash")
     def run(batches):
         for batch in batches:
             for at, part in chunks(batch.column(4)):

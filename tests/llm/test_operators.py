@@ -1187,6 +1187,25 @@ def test_pipeline_against_its_operators(spark):
     assert got == want and dirty
 
 
+def test_pipeline_workers_keep_nothing_of_another_operator(spark, documents, monkeypatch):
+    """Whatever a stage sends to workers drops what the other operators keep in one: words and their ids, a model's table."""
+    import corpus_pipeline
+
+    sent, frame = [], type(documents)
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, *a, f=frame.mapInArrow, **b: sent.append((name, run)) or f(self, run, *a, **b))
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, documents, SF)
+    assert {n for n, _ in sent} == {n for n, _ in corpus_pipeline.STAGES} - {"line_dedup"}
+    model = kneser_ney.Model(np.array([1, 2]), np.array([3, 4]))
+    for name, run in sent:
+        list(next(f for n, f in sent if n != name)(iter([])))  # the worker served another stage before
+        bpe._encoder(bpe.default_path())
+        quality._scorers[:] = [kneser_ney.Scorer(model)]
+        list(run(iter([])))
+        assert bool(bpe._encoder.cache_info().currsize) == (name == "bpe_encoding"), name
+        assert bool(quality._scorers) == (name == "quality_rules"), name
+
+
 def test_pipeline_does_not_depend_on_the_sample(spark, monkeypatch):
     """The rows are the same with about 20 texts and with all texts in the sample that decontamination's basis is fitted on."""
     import corpus_pipeline
