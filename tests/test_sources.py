@@ -54,3 +54,7 @@ def test_embedded_database_keeps_values_and_nulls(spark):
 def test_embedded_database_wants_a_folder(spark):
     with pytest.raises(ValueError, match="mounted"):
         sources.embedded_database(spark.range(1), "t", "hdfs://there/x")
+
+
+def test_jdbc_tablespace_on_a_cluster(tmp_path):
+    assert on_cluster("jdbc_tablespace", tmp_path) == str([(r, 5) for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")])
