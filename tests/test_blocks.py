@@ -1,11 +1,11 @@
-"""Calls that are worked out over all tasks: functions of all rows in an order."""
+"""Calls that are worked out over all tasks: functions of all rows in an order, class-style aggregates."""
 
 import duckdb
 import pytest
 
 from millrace import engine as engine_module
 from millrace.engine import Engine
-from millrace.queries import ORACLES, QUERIES
+from millrace.queries import ORACLES, QUERIES, Mean
 from tests.conftest import SF
 from tests.test_queries import rows
 
@@ -68,3 +68,78 @@ def test_other_statements_mean_the_same(spark, over_tasks, text):
     e = Engine(spark)
     got, want = e.sql(text), spark.sql(e.translated(text))
     assert got.columns == want.columns and rows(got.columns, got.collect()) == rows(want.columns, want.collect())
+
+
+def in_two_phases(frame):
+    return "MapInArrow" in frame._jdf.queryExecution().toString()
+
+
+@pytest.fixture(scope="module")
+def with_classes(spark):
+    class Product:
+        """Of two columns: the sum of their products, as a whole number."""
+
+        output_type = "int8"
+
+        def __init__(self):
+            self.total = 0
+
+        def eval(self, a, b):
+            self.total += (a or 0) * (b or 0)
+
+        def get_partial_result(self):
+            return self.total
+
+        def merge(self, partial):
+            self.total += partial
+
+        def get_final_result(self):
+            return self.total
+
+    e = Engine(spark)
+    e.functions.aggregate("mean_of", Mean)
+    e.functions.aggregate("product_of", Product)
+    return e
+
+
+def test_class_aggregate_of_sql_has_no_group_in_one_task(spark):
+    got = QUERIES["udaf_sql"](spark, SF)
+    assert in_two_phases(got)
+    want = duckdb.sql(ORACLES["udaf_sql"].replace("lineitem", f"'{SF}/lineitem.parquet'"))
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"select mean_of(x) as m from {DATA}",
+        f"select mean_of(x) as m, count(*) as n from {DATA} where k > 9",
+        f"select s, mean_of(x) as m from {DATA} group by s",
+        f"select x, mean_of(k) from {DATA} group by x",
+        f"select t.s || 'y' as u, round(mean_of(k + 1), 3) m, mean_of(x) / 2 as h from {DATA} group by t.s order by m desc, u limit 2",
+        f"select s as k, mean_of(k) as m, count(*) as n, max(x) filter (where k > 2) as hi from {DATA} group by s having count(*) > 1 and m > 1 order by k",
+        f"select k % 2 as odd, mean_of(x) + sum(x) as m from {DATA} group by k % 2 having mean_of(x) > 0",
+        f"select 2 * k as s, mean_of(x) as m from {DATA} group by 1 order by s",
+        f"select rank() over (order by mean_of(k) desc) as r, s from {DATA} group by s",
+        f"with u as (select * from {DATA} where k < 6) select u.s, mean_of(u.x) as m from u, (values ('a'), ('b')) v(w) where s = w group by s",
+        f"select s, mean_of(x) as m, sum(count(*)) over () as n from {DATA} group by s",
+        f"select twin, mean_of(x) as m from (select s as twin, x from {DATA}) u group by twin order by 2",
+    ],
+)
+def test_class_aggregates_of_sql(spark, with_classes, text):
+    """As the built-in mean, with NULLs in keys and values."""
+    got, want = with_classes.sql(text), with_classes.sql(text.replace("mean_of", "avg"))
+    assert in_two_phases(got)
+    assert rows(list("abcdefgh"[: len(got.columns)]), got.collect()) == rows(list("abcdefgh"[: len(want.columns)]), want.collect())
+
+
+def test_class_aggregates_of_several_columns(spark, with_classes):
+    got = with_classes.sql(f"select s, product_of(k, x) as p, mean_of(x) as m from (select k, s, cast(x as int4) as x from {DATA}) u group by s")
+    assert in_two_phases(got) and got.dtypes[1] == ("p", "bigint")
+    assert {r.s: (r.p, r.m) for r in got.collect()} == {"a": (16, 1.5), "b": (2, 2.0), "c": (35, 7.0), None: (2, 1.0)}
+
+
+@pytest.mark.parametrize("text", [f"select s, mean_of(x) as m from {DATA} where x is not null group by rollup(s)", f"select array(s) as a, mean_of(x) as m from {DATA} where x is not null group by array(s)"])
+def test_other_groups_are_as_before(spark, with_classes, text):
+    got, want = with_classes.sql(text), with_classes.sql(text.replace("mean_of", "avg"))
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.collect())
