@@ -56,6 +56,8 @@ def test_ties_nulls_and_directions(spark, over_tasks, items):
         f"select k, row_number() over (order by k) + k as r from {DATA}",
         f"select k, row_number() over (partition by s order by k) as r from {DATA}",
         f"select rank() over (order by count(*), s) as r, s, count(*) as n from {DATA} group by 2",
+        f"with u as (select k, s from {DATA} where k > 3) select r, s from (select s, row_number() over (order by k) as r from u) v where r < 3",
+        f"select r, count(*) as n from (select ntile(2) over (order by k) as r from {DATA}) u group by r",
         f"select distinct ntile(2) over (order by k) as r from {DATA}",
         f"select *, row_number() over (order by k) as r from {DATA}",
         f"select row_number() over (order by k) as r from {DATA} union all select 8",
@@ -123,6 +125,9 @@ def test_class_aggregate_of_sql_has_no_group_in_one_task(spark):
         f"select rank() over (order by mean_of(k) desc) as r, s from {DATA} group by s",
         f"with u as (select * from {DATA} where k < 6) select u.s, mean_of(u.x) as m from u, (values ('a'), ('b')) v(w) where s = w group by s",
         f"select s, mean_of(x) as m, sum(count(*)) over () as n from {DATA} group by s",
+        f"select max(m) as m, count(*) as n from (select s, mean_of(x) as m from {DATA} group by s) u where s is not null",
+        f"select mean_of(m) as m from (select s, mean_of(x) as m from {DATA} group by s) u",
+        f"select k, (select mean_of(x) from {DATA}) as m from {DATA}",
         f"select twin, mean_of(x) as m from (select s as twin, x from {DATA}) u group by twin order by 2",
     ],
 )
@@ -143,3 +148,21 @@ def test_class_aggregates_of_several_columns(spark, with_classes):
 def test_other_groups_are_as_before(spark, with_classes, text):
     got, want = with_classes.sql(text), with_classes.sql(text.replace("mean_of", "avg"))
     assert rows(got.columns, got.collect()) == rows(want.columns, want.collect())
+
+
+def test_equal_keys_are_dealt_out(spark, over_tasks):
+    e = Engine(spark)
+    e.spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.range(40_000).createOrReplaceGlobalTempView("same")
+    got = e.sql("select id, row_number() over (order by id * 0) as r, ntile(3) over (order by id * 0) as q from global_temp.same")
+    assert sorted(r.r for r in got.collect()) == list(range(1, 40_001))
+    assert sorted((r.q, r["count"]) for r in got.groupBy("q").count().collect()) == [(1, 13_334), (2, 13_333), (3, 13_333)]
+    assert len(got.inputFiles()) > 1
+
+
+def test_kinds_of_keys_and_values(spark, with_classes):
+    text = """select d, n, b, y, z, at, mean_of(k) as m from (select k, date '2020-01-01' + k % 2 as d, cast(k % 2 as decimal(9, 2)) as n, k % 2 = 0 as b, cast('x' as binary) as y,
+case when k % 2 = 0 then cast('nan' as double) end as z, timestamp '2020-01-01 10:00:00' as at from (values (1), (2), (3), (4)) t(k)) u group by d, n, b, y, z, at"""
+    got, want = with_classes.sql(text), with_classes.sql(text.replace("mean_of", "avg"))
+    assert in_two_phases(got) and got.dtypes == want.dtypes
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.collect())
